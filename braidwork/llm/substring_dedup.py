@@ -17,10 +17,12 @@ share one.  A run of windows with one anchor is one short row.
 2. Variable length.  Prefixes with up to `group_limit` runs are memory-sized:
    the suffixes of such a group form one subtree, built from their sorted
    word strings; its internal nodes at depth `width` are the repeated windows.
-   Prefixes above the limit are extended to the full width, where a suffix
-   group is one tree node and only its first start matters: a pre-aggregated
-   minimum, joined back under Spark's skew handling.  Nothing is dropped.
-3. The repeated windows come back as word intervals of each document.
+   Prefixes above the limit are extended: first to the whole run, whose equal
+   copies need only the first place, then - between distinct runs - to the
+   full width, where a suffix group is one tree node and again only its first
+   start matters.  Both are pre-aggregated minima.  Nothing is dropped.
+3. The repeated windows come back as word intervals of each document.  A
+   document with the whole text of an earlier one skips step 2.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ from braidwork.llm.scratch import cut
 from braidwork.llm.words import Words, grams, slices
 
 WIDTH, PREFIX, GROUP_LIMIT = 20, 8, 2000
+#: As the end of an interval: the end of the document.
+END = 2**31 - 1
 
 
 def window_runs(word_hashes: np.ndarray, first: np.ndarray, width: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -81,36 +85,42 @@ def _runs(width: int, prefix: int):
 
 
 def _segments(width: int):
-    """The words under each run; runs of a long prefix group become their single windows, keyed by digest."""
+    """The words under each run; a document that copies an earlier one is a single row without words."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            small, large = ([], [], [], [], []), ([], [], [])
-            for doc, text, runs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            out = [[] for _ in range(6)]
+            for doc, text, runs, copy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
+                if copy:
+                    for col, x in zip(out, (None, doc, 0, 0, None, False), strict=True):
+                        col.append(x)
+                    continue
                 words = text.encode().split()
                 runs = runs.values
                 for key, start, n, big in zip(*(runs.field(i).to_pylist() for i in range(4)), strict=True):
-                    if not big:
-                        for out, x in zip(small, (key, doc, start, n, b" ".join(words[start:start + n + width - 1])), strict=True):
-                            out.append(x)
-                    else:
-                        for s in range(start, start + n):
-                            for out, x in zip(large, (hashlib.md5(b" ".join(words[s:s + width])).digest(), doc, s), strict=True):
-                                out.append(x)
-            for x in range(0, len(small[0]), 20_000):
-                k, d, s, n, t = (c[x:x + 20_000] for c in small)
-                yield _row(k, d, s, n, t, [None] * len(k))
-            for x in range(0, len(large[0]), 20_000):
-                m, d, s = (c[x:x + 20_000] for c in large)
-                yield _row([None] * len(m), d, s, [1] * len(m), [None] * len(m), m)
+                    for col, x in zip(out, (key, doc, start, n, b" ".join(words[start:start + n + width - 1]), big), strict=True):
+                        col.append(x)
+            for x in range(0, len(out[0]), 20_000):
+                yield pa.record_batch([pa.array(c[x:x + 20_000], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary(), pa.bool_()), strict=True)],
+                                      names=["key", "doc_id", "start", "n", "seg", "big"])
     return op
 
 
-def _row(key, doc, start, n, seg, node) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int16()), pa.array(seg, pa.binary()), pa.array(node, pa.binary())],
-                           names=["key", "doc_id", "start", "n", "seg", "node"])
+SEGMENT = "key long, doc_id long, start int, n short, seg binary, big boolean"
 
 
-SEGMENT = "key long, doc_id long, start int, n short, seg binary, node binary"
+def _windows(width: int):
+    """The suffixes of distinct segments by their whole-width prefix, as a digest."""
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, docs, starts = [], [], []
+            for seg, doc, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = seg.split(b" ")
+                for j in range(len(words) - width + 1):
+                    node.append(hashlib.md5(b" ".join(words[j:j + width])).digest())
+                    docs.append(doc)
+                    starts.append(start + j)
+            yield pa.record_batch([pa.array(node, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["node", "doc_id", "start"])
+    return op
 
 
 def subtree_repeats(suffixes: list[tuple[bytes, tuple]], width: int) -> dict[bytes, tuple]:
@@ -196,13 +206,22 @@ def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_lim
     counts = runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     wanted = (runs.join(counts, "key")
               .groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", (F.col("members") > group_limit).alias("big"))).alias("runs")))
-    segments = cut(texts.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(_segments(width), SEGMENT))
-    trees = (segments.where("key is not null").select("key", "doc_id", "start", "n", "seg")
+    # all of a document that has the text of an earlier one is covered, so its runs need no further look
+    digests = texts.select("doc_id", F.md5("text").alias("digest"))
+    original = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
+    copies = digests.join(original, "digest").where("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
+    segments = cut(texts.join(wanted.join(copies, "doc_id", "left"), "doc_id").select("doc_id", "text", "runs", "copy").mapInArrow(_segments(width), SEGMENT))
+    whole = segments.where("key is null").select("doc_id", F.lit(0).alias("lo"), F.lit(END).alias("hi"))
+    trees = (segments.where("key is not null and not big").select("key", "doc_id", "start", "n", "seg")
              .repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(width), "doc_id long, lo int, hi int"))
-    nodes = segments.where("node is not null").select("node", "doc_id", "start")
-    first = nodes.groupBy("node").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("c")).where("c > 1").select("node", "least")
-    later = nodes.join(first, "node").where(F.struct("doc_id", "start") != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
-    return trees.unionByName(later)
+    place = F.struct("doc_id", "start")
+    large = segments.where("key is not null and big").select("doc_id", "start", "n", "seg")
+    leaves = large.groupBy("seg").agg(F.min(place).alias("least"))
+    again = large.join(leaves, "seg").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).cast("int").alias("hi"))
+    nodes = leaves.select("seg", "least.doc_id", "least.start").mapInArrow(_windows(width), "node binary, doc_id long, start int")
+    first = nodes.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").select("node", "least")
+    later = nodes.join(first, "node").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
+    return whole.unionByName(trees).unionByName(again).unionByName(later)
 
 
 def _apply(keep_text: bool):

@@ -278,6 +278,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, keep_ids: bool = Fal
         hist[length] = c
     before = sizes.select("length", "salt", F.coalesce(F.sum("c").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     ranked = (salted.withColumn("n", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
-              .join(before, ["length", "salt"]).withColumn("rank", (F.col("base") + F.col("n") - 1).cast("long")))
+              .join(before.hint("merge"), ["length", "salt"]).withColumn("rank", (F.col("base") + F.col("n") - 1).cast("long")))
     names = [x.split(" ")[0] for x in kind.split(", ")]
     return ranked.select(*names, "rank").mapInArrow(_place(spark.sparkContext.broadcast(plan(hist, size)), size), f"{kind}, sequence_id long, offset long")

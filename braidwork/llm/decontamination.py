@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm.scratch import small_batches
 from braidwork.llm.words import ALNUM, LOWER, U, Words, grams, mix, slices
 
 RATIO, GRAM, MIN_WORDS = 0.2, 3, 6
@@ -184,7 +185,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, re
     if not 0 <= ratio <= 0.2:
         raise ValueError("ratio is from 0 to 0.2")
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     total = usable.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))

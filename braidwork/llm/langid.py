@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm.scratch import small_batches
 from braidwork.llm.words import Words, slices
 
 BUCKETS, ROUNDS, PENALTY, SMOOTH = 1 << 15, 10, 2.0, 0.1
@@ -193,7 +194,7 @@ def identify(docs: DataFrame) -> DataFrame:
     0, and so is everything if nothing could be learned.  Rows without doc_id
     are neither held out nor learned from.
     """
-    rows = docs.select("doc_id", "text", "lang", held_out().alias("held_out"))
+    rows = small_batches(docs).select("doc_id", "text", "lang", held_out().alias("held_out"))
     model = fit(rows.where(~F.col("held_out")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out")).mapInArrow(

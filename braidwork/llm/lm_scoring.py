@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.scratch import cut
+from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import LOWER, U, Words, mix, slices
 
 DEPTH, GRAMS, SLOTS, HOT = 5, 1 << 20, 1 << 23, 1 << 18
@@ -320,7 +320,7 @@ def score(docs: DataFrame, depth: int = DEPTH, most: int = GRAMS, slots: int = S
     scored and learned from.  Repeated rows are each returned.
     """
     sc = docs.sparkSession.sparkContext
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     words = cut(rows.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_vocabulary, "h long, c long, times long")
                 .groupBy("h").agg(F.sum("c").alias("c"), F.sum("times").alias("times")))
     ends = rows.where(~F.col("held_out")).count()  # the end is a token of each learning text

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.scratch import cut
+from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import slices
 
 SIZE, END_ID = 2048, 0
@@ -269,7 +269,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, keep_ids: bool = Fal
     """
     spark = docs.sparkSession
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    pieces = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, size, keep_ids), kind))
+    pieces = cut(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(tokenizer, size, keep_ids), kind))
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     sizes = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("c")))

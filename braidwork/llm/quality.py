@@ -23,6 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.llm.scratch import small_batches
 from braidwork.llm.words import slices
 
 SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1500, 8192, 64 << 10, 3
@@ -90,7 +91,7 @@ def fit(labelled: DataFrame) -> Model:
     rows = []
     for k, n in counts.items():
         # a cut by hash leaves a few samples' worth of rows, whatever the input, of which the least are taken
-        some = usable.where(F.col("label") == k).where(F.shiftrightunsigned(h, 1) < int(min(1.0, 4.0 * SAMPLE / n) * (2**63 - 1)))
+        some = usable.where(F.col("label") == k).where(F.shiftrightunsigned(h, 1) <= min(2**63 - 1, 2**63 * 4 * SAMPLE // n))
         rows += some.select("label", h.alias("h"), F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text")).orderBy("h").limit(2 * SAMPLE).toArrow().to_pylist()
     kinds = [[r["text"] for r in rows if r["label"] == k and r["text"]] for k in (0, 1)]
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
@@ -134,5 +135,5 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
     model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(_score(shared, threshold), "doc_id long, held_out boolean, score double, predicted int")

@@ -28,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
+    """df, after bounding the session's Arrow batches by bytes.
+
+    The default of 64 MB a batch is held several times over in each task's
+    off-heap memory; long texts and vectors reach it.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.components import components
-from braidwork.llm.scratch import cut
+from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import slices
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
@@ -190,7 +190,7 @@ def _verify(distance: int, dense: int = 48):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
 def fingerprint_groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.scratch import cut
+from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import Words, grams, slices
 
 WIDTH, PREFIX, GROUP_LIMIT = 20, 8, 2000
@@ -201,7 +201,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_lim
     of fewer than `width` words have no window; rows without doc_id have no
     place in the order and are not judged.  Intervals may overlap.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     runs = texts.mapInArrow(_runs(width, min(prefix, width)), "key long, doc_id long, start int, n short")
     counts = runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     wanted = (runs.join(counts, "key")

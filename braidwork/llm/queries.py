@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import decontamination, langid, lm_scoring, packing, quality, simhash, substring_dedup
+from braidwork.llm import chat_formatting, decontamination, embedding_dedup, langid, licenses, lm_scoring, packing, quality, simhash, substring_dedup
 from braidwork.session import table
 
 
@@ -40,13 +40,26 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.recognise(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_langid, op5_lm_scoring, op6_quality, op9_decontamination)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_simhash, op3_packing, op4_langid, op5_lm_scoring, op6_quality,
+                                 op7_embedding_dedup, op8_licenses, op9_decontamination, op10_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_licenses": licenses.oracle(), "op10_chat_formatting": chat_formatting.ORACLE}

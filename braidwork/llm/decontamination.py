@@ -129,44 +129,46 @@ def fit_distance(item: list, text: list, most: int) -> int:
     return min(before)
 
 
-def _scan(shared, ratio: float, tables: int):
-    def matches(text: pa.Array, items: Items) -> Iterator[tuple[int, int, int, int]]:
-        w = Words(text, ALNUM)
-        if len(w) < GRAM:
-            return
-        h = w.hashes(LOWER)
-        position, item, place = items.seeds(grams(h, GRAM))
-        if not len(position):
-            return
-        row = np.searchsorted(w.first, position, side="right") - 1
-        ok = position + GRAM <= w.first[row + 1]  # not across documents
-        position, item, place, row = position[ok], item[ok], place[ok], row[ok]
-        # q-gram lemma on the document's seeds of the item
-        pair, back, times = np.unique(np.stack([row, item]), axis=1, return_inverse=True, return_counts=True) if len(row) else (None, np.empty(0, int), np.empty(0, int))
-        ok = times[back.ravel()] >= items.need[item] if len(row) else np.empty(0, bool)
-        position, item, place, row = position[ok], item[ok], place[ok], row[ok]
-        if not len(row):
-            return
-        start = np.clip(position - place, w.first[row], np.maximum(w.first[row + 1] - 1, w.first[row]))
-        windows = np.unique(np.stack([row, item, start]), axis=1)
-        row, item, start = windows
-        found = lsh_candidates(h, start, items, item, tables)
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        for r, i, at in zip(row[found].tolist(), item[found].tolist(), start[found].tolist(), strict=True):
-            most = int(items.edits[i])
-            if best.get((r, i), (most + 1,))[0] == 0:
-                continue
-            lo, hi = max(int(w.first[r]), at - most), min(int(w.first[r + 1]), at + int(items.sizes[i]) + most)
-            d = fit_distance(items.words[i].tolist(), h[lo:hi].tolist(), most)
-            if d <= most and (d, at) < best.get((r, i), (most + 1, 0)):
-                best[r, i] = (d, at)
-        for (r, i), (d, at) in best.items():
-            yield r, int(items.ids[i]), d, int(items.sizes[i])
+def matches(text: pa.Array, items: Items, tables: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item_id, edits, words of the item) for each row of text and item that matches it."""
+    w = Words(text, ALNUM)
+    if len(w) < GRAM:
+        return
+    h = w.hashes(LOWER)
+    position, item, place = items.seeds(grams(h, GRAM))
+    if not len(position):
+        return
+    row = np.searchsorted(w.first, position, side="right") - 1
+    ok = position + GRAM <= w.first[row + 1]  # not across documents
+    position, item, place, row = position[ok], item[ok], place[ok], row[ok]
+    # q-gram lemma on the document's seeds of the item
+    pair, back, times = np.unique(np.stack([row, item]), axis=1, return_inverse=True, return_counts=True) if len(row) else (None, np.empty(0, int), np.empty(0, int))
+    ok = times[back.ravel()] >= items.need[item] if len(row) else np.empty(0, bool)
+    position, item, place, row = position[ok], item[ok], place[ok], row[ok]
+    if not len(row):
+        return
+    start = np.clip(position - place, w.first[row], np.maximum(w.first[row + 1] - 1, w.first[row]))
+    windows = np.unique(np.stack([row, item, start]), axis=1)
+    row, item, start = windows
+    found = lsh_candidates(h, start, items, item, tables)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    for r, i, at in zip(row[found].tolist(), item[found].tolist(), start[found].tolist(), strict=True):
+        most = int(items.edits[i])
+        if best.get((r, i), (most + 1,))[0] == 0:
+            continue
+        lo, hi = max(int(w.first[r]), at - most), min(int(w.first[r + 1]), at + int(items.sizes[i]) + most)
+        d = fit_distance(items.words[i].tolist(), h[lo:hi].tolist(), most)
+        if d <= most and (d, at) < best.get((r, i), (most + 1, 0)):
+            best[r, i] = (d, at)
+    for (r, i), (d, at) in best.items():
+        yield r, int(items.ids[i]), d, int(items.sizes[i])
+
 
+def _scan(shared, ratio: float, tables: int):
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value, ratio)
         for b in slices(batches):
-            got = list(matches(b.column(1), items))
+            got = list(matches(b.column(1), items, tables))
             if got:
                 ids = b.column(0).to_pylist()
                 yield pa.record_batch([pa.array([ids[r] for r, *_ in got], pa.int64()), *(pa.array([x[k] for x in got], pa.int64() if k == 1 else pa.int32()) for k in (1, 2, 3))],
@@ -174,35 +176,57 @@ def _scan(shared, ratio: float, tables: int):
     return op
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, edits, item_words): items found in documents, with the edits of the best match tried.
+def _keep_clean(shared, ratio: float, tables: int):
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        items = Items(*shared.value, ratio)
+        for b in slices(batches):
+            keep = np.ones(b.num_rows, bool)
+            keep[[r for r, *_ in matches(b.column(b.schema.get_field_index("text")), items, tables)]] = False
+            yield b.filter(pa.array(keep))
+    return op
 
-    Items of fewer than MIN_WORDS words, null or empty ones included, are no
-    evidence of a leak and are left out; so are null and empty documents, which
-    hold no window.  Repeated rows give repeated results.  ratio is at most 0.2,
-    for which three-word seeds are exact.
-    """
-    if not 0 <= ratio <= 0.2:
-        raise ValueError("ratio is from 0 to 0.2")
-    spark = docs.sparkSession
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+
+def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
+    """Broadcast item blocks of about block_bytes at most."""
+    spark = benchmark.sparkSession
     usable = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null and item_id is not null")
     total = usable.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     numbered = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    tables = tables_for(recall, AGREE, SAMPLED)
-    made = None
     for k in range(blocks):
         rows = numbered.where(F.col("block") == k).select("item_id", "text").distinct().orderBy("item_id", "text").toArrow()
         sizes = np.diff(Words(rows["text"].combine_chunks().cast(pa.string()), ALNUM).first) if rows.num_rows else np.empty(0, int)
         rows = rows.filter(pa.array(sizes >= MIN_WORDS))
         if rows.num_rows:
-            shared = spark.sparkContext.broadcast((rows["item_id"].to_pylist(), rows["text"].to_pylist()))
-            part = texts.mapInArrow(_scan(shared, ratio, tables), "doc_id long, item_id long, edits int, item_words int")
-            made = part if made is None else made.unionByName(part)
-    return made if made is not None else spark.createDataFrame([], "doc_id long, item_id long, edits int, item_words int")
+            yield spark.sparkContext.broadcast((rows["item_id"].to_pylist(), rows["text"].to_pylist()))
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs in which no item is found, with all columns; rows without doc_id are kept."""
-    return docs.join(contaminated(docs, benchmark, **how).select("doc_id").distinct(), "doc_id", "left_anti")
+def _checked(ratio: float) -> float:
+    if not 0 <= ratio <= 0.2:
+        raise ValueError("ratio is from 0 to 0.2")
+    return ratio
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, edits, item_words): items found in documents, with the edits of the best match tried.
+
+    Items of fewer than MIN_WORDS words, null or empty ones included, are no
+    evidence of a leak and are left out; so are null and empty documents, which
+    hold no window.  Repeated rows give repeated results.  ratio is at most 0.2,
+    for which three-word seeds are exact.
+    """
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    tables = tables_for(recall, AGREE, SAMPLED)
+    made = None
+    for shared in _item_blocks(benchmark, block_bytes):
+        part = texts.mapInArrow(_scan(shared, _checked(ratio), tables), "doc_id long, item_id long, edits int, item_words int")
+        made = part if made is None else made.unionByName(part)
+    return made if made is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, edits int, item_words int")
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs in whose text no item is found, with all columns; null texts are clean."""
+    small_batches(docs)
+    for shared in _item_blocks(benchmark, block_bytes):
+        docs = docs.mapInArrow(_keep_clean(shared, _checked(ratio), tables_for(recall, AGREE, SAMPLED)), docs.schema)
+    return docs

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -159,28 +160,47 @@ def infer(log_p: np.ndarray, text: pa.Array) -> tuple[np.ndarray, list[list[int]
     return rows, sets, chosen, every
 
 
+def _answers(model: Model, text: pa.Array) -> tuple[list[str], np.ndarray, list[list[str]], list[list[float]]]:
+    """(language, score, chosen languages, their shares) of each text."""
+    n = len(text)
+    pred, score = [UNKNOWN] * n, np.zeros(n)
+    sets: list[list[str]] = [[] for _ in range(n)]
+    shares: list[list[float]] = [[] for _ in range(n)]
+    rows, chosen, share, every = infer(model.log_p, text)
+    for i, (r, langs) in enumerate(zip(rows.tolist(), chosen, strict=True)):
+        own = text[r].as_py()
+        if not any(map(str.isalpha, own[:200])) and not any(map(str.isalpha, own)):
+            continue  # multi-byte characters that are no letters
+        pred[r] = model.languages[langs[0]]
+        score[r] = min(1.0, max(0.0, float(every[i, langs[0]])))
+        sets[r] = [model.languages[k] for k in langs]
+        shares[r] = [float(share[i, k]) for k in langs]
+    return pred, score, sets, shares
+
+
+def _limit(model: Model) -> int:
+    return max(1 << 16, (1 << 23) // max(4, len(model.languages)))
+
+
 def _predict(shared):
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        for b in slices(batches, limit=max(1 << 16, (1 << 23) // max(4, len(model.languages)))):
-            n = b.num_rows
-            pred, score = [UNKNOWN] * n, np.zeros(n)
-            sets: list[list[str]] = [[] for _ in range(n)]
-            shares: list[list[float]] = [[] for _ in range(n)]
-            rows, chosen, share, every = infer(model.log_p, b.column(1))
-            for i, (r, langs) in enumerate(zip(rows.tolist(), chosen, strict=True)):
-                text = b.column(1)[r].as_py() if share.shape[1] else None
-                if not any(map(str.isalpha, text[:200])) and not any(map(str.isalpha, text)):
-                    continue  # multi-byte characters that are no letters
-                pred[r] = model.languages[langs[0]]
-                score[r] = min(1.0, max(0.0, float(every[i, langs[0]])))
-                sets[r] = [model.languages[k] for k in langs]
-                shares[r] = [float(share[i, k]) for k in langs]
-            yield pa.record_batch([b.column(0), b.column(2), pa.array(pred), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
+        for b in slices(batches, limit=_limit(shared.value)):
+            pred, score, sets, shares = _answers(shared.value, b.column(1))
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))],
                                   names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
     return op
 
 
+def _relabel(shared):
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, limit=_limit(shared.value)):
+            pred = pa.array(_answers(shared.value, b.column(1))[0], pa.string())
+            at = b.schema.get_field_index("lang")
+            out = pa.record_batch([pred if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
+            yield out.filter(pa.compute.not_equal(pred, UNKNOWN))
+    return op
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
 
@@ -199,3 +219,10 @@ def identify(docs: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(False)).alias("held_out")).mapInArrow(
         _predict(shared), "doc_id long, held_out boolean, lang_pred string, score double, languages array<string>, proportions array<double>")
+
+
+def relabel_documents(docs: DataFrame) -> DataFrame:
+    """The rows of documents (doc_id, text, lang, source, n_chars) with the predicted language as lang, without those that are `und`."""
+    model = fit(small_batches(docs).select("text", "lang", held_out().alias("held_out")).where(~F.col("held_out")))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(_relabel(shared), "doc_id long, text string, lang string, source string, n_chars long")

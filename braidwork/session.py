@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,3 +28,22 @@ def ship_package(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str):
     """A standard table by its folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; on a local master a temporary one where it is unset."""
+    got = spark.conf.get("spark.checkpoint.dir", None)
+    if got:
+        return got.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    own = f"file://{tempfile.mkdtemp(prefix='braidwork-')}"
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def written(df):
+    """df written to the shared folder and read back: lineage ends there."""
+    path = f"{shared_dir(df.sparkSession)}/braidwork-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

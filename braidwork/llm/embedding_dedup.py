@@ -5,9 +5,10 @@
 2. A rotation of the principal components is learned so that signs balance
    and quantise well (ITQ), on a bounded sample: the SAMPLE distinct vectors
    of each dimension with the least hash.  Every vector is indexed.
-3. A code is cut into chunks of about log2(vectors) bits.  Two codes within
-   RADIUS bits have a chunk within RADIUS // chunks bits, so each vector waits
-   under its own chunk and looks under the neighbouring ones.
+3. A code is cut into chunks, wider the more vectors a label has.  Two codes
+   within RADIUS bits have a chunk within RADIUS // chunks bits, so each vector
+   waits under its own chunk and looks under the neighbouring ones.  At the
+   threshold a bit differs with a chance of some 6 %, so of 64 bits 4 do.
 4. Vectors that meet are compared by cosine in double precision.  A bucket of
    more than BLOCK vectors is split into pairs of blocks, so no task holds
    more than two.  What comes back are link counts for each vector and a
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from braidwork.llm.components import components
 from braidwork.llm.scratch import cut, small_batches
 
-COSINE, SAMPLE, ROUNDS, RADIUS, BLOCK = 0.98, 10_000, 40, 11, 1024
+COSINE, SAMPLE, ROUNDS, RADIUS, BLOCK = 0.98, 10_000, 40, 7, 1024
 U = np.uint64
 
 
@@ -62,8 +63,12 @@ def encode(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarra
 
 
 def layout(bits: int, vectors: int, radius: int) -> tuple[list[tuple[int, int]], int]:
-    """((shift, width) of each chunk, bits in which a chunk may differ)."""
-    width = max(4, min(16, bits, round(math.log2(max(2, vectors)))))
+    """((shift, width) of each chunk, bits in which a chunk may differ).
+
+    vectors: the most of one label.  Chunks are as wide as leaves some 16 of
+    them in a bucket, from 8 to 16 bits.
+    """
+    width = min(bits, max(8, min(16, round(math.log2(max(2, vectors))) - 4)))
     n = max(1, bits // width)
     cuts = [round(i * bits / n) for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)], radius // n
@@ -195,12 +200,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     distinct = cut(keyed.where("good").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("vec_id", "embedding")).alias("v"))
                    .select(*key, "rep", "copies", F.size("v.embedding").alias("dim"), F.col("v.embedding").alias("embedding")))
     models = {}
-    for dim, n in distinct.groupBy("dim").count().collect():
+    by_label = distinct.groupBy("dim", "label").count()
+    for dim, n, most in by_label.groupBy("dim").agg(F.sum("count"), F.max("count")).collect():
         # a cut by hash first, so that little more than the sample is ordered
         some = distinct.where(F.col("dim") == dim).where(F.shiftrightunsigned("k1", 1) <= min(2**63 - 1, 2**63 * 2 * sample // n))
         rows = some.select("k1", "k2", "embedding").orderBy("k1", "k2").limit(sample).toArrow()["embedding"].to_pylist()
         rows = rows or distinct.where(F.col("dim") == dim).select("embedding").limit(1).toArrow()["embedding"].to_pylist()
-        models[dim] = (*learn_rotation(unit(rows), min(dim, 64)), n)
+        models[dim] = (*learn_rotation(unit(rows), min(dim, 64)), most)
     shared = sc.broadcast(models)
     bucket = ["label", "dim", "tab", "chunk"]
     looks = cut(distinct.select("label", "rep", "dim", "embedding", "copies").mapInArrow(_lookups(shared, radius), LOOKUP))

@@ -38,15 +38,25 @@ def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
     return df
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs no more than re-reading the
-    files, and two consumers of the result do not compute it twice.
+    files, and two consumers of the result do not compute it twice.  The
+    shuffle files behind the table go once it is written, rather than when the
+    driver next collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidwork-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

@@ -22,7 +22,8 @@ share one.  A run of windows with one anchor is one short row.
    full width, where a suffix group is one tree node and again only its first
    start matters.  Both are pre-aggregated minima.  Nothing is dropped.
 3. The repeated windows come back as word intervals of each document.  A
-   document with the whole text of an earlier one skips step 2.
+   document with the whole text of an earlier one skips step 2, and only the
+   texts that hold some repeat are shuffled again to meet their intervals.
 """
 
 from __future__ import annotations
@@ -39,8 +40,6 @@ from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import Words, grams, slices
 
 WIDTH, PREFIX, GROUP_LIMIT = 20, 8, 2000
-#: As the end of an interval: the end of the document.
-END = 2**31 - 1
 
 
 def window_runs(word_hashes: np.ndarray, first: np.ndarray, width: int, prefix: int) -> tuple[np.ndarray, ...]:
@@ -84,30 +83,58 @@ def _runs(width: int, prefix: int):
     return op
 
 
-def _segments(width: int):
-    """The words under each run; a document that copies an earlier one is a single row without words."""
+FINISHED, WAITING, SEGMENT = 0, 1, 2
+#: One row of the written table: a finished document, a document that waits for its spans, or a segment.
+ROW = "kind int, doc_id long, n_words long, n_removed long, kept string, text string, key long, start int, n short, seg binary, big boolean"
+KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int16(), pa.binary(), pa.bool_())
+
+
+def _kept(text: str | None, words: list[bytes], kept: list[bytes], keep_text: bool) -> str | None:
+    """What is left of a text: itself if nothing goes, or the digest of its words."""
+    if keep_text:
+        return text if len(kept) == len(words) else b" ".join(kept).decode()
+    return hashlib.sha256(b" ".join(kept)).hexdigest()
+
+
+def _segments(width: int, keep_text: bool):
+    """Documents without repeats, and copies of earlier ones, are finished here; of the others come the text and the words under each run.
+
+    in: doc_id, text, runs, copy and further columns, which go with the document.
+    """
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            out = [[] for _ in range(6)]
-            for doc, text, runs, copy in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
-                if copy:
-                    for col, x in zip(out, (None, doc, 0, 0, None, False), strict=True):
-                        col.append(x)
-                    continue
-                words = text.encode().split()
-                runs = runs.values
-                for key, start, n, big in zip(*(runs.field(i).to_pylist() for i in range(4)), strict=True):
-                    for col, x in zip(out, (key, doc, start, n, b" ".join(words[start:start + n + width - 1]), big), strict=True):
-                        col.append(x)
-            for x in range(0, len(out[0]), 20_000):
-                yield pa.record_batch([pa.array(c[x:x + 20_000], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary(), pa.bool_()), strict=True)],
-                                      names=["key", "doc_id", "start", "n", "seg", "big"])
+            out, source = [[] for _ in KINDS], []
+
+            def put(at: int, *row) -> None:
+                for col, x in zip(out, row, strict=True):
+                    col.append(x)
+                source.append(at)
+
+            def flush() -> pa.RecordBatch:
+                at = pa.array([i if k != SEGMENT else None for i, k in zip(source, out[0], strict=True)], pa.int64())
+                made = pa.record_batch([*(pa.array(c, t) for c, t in zip(out, KINDS, strict=True)), *(c.take(at) for c in b.columns[4:])],
+                                       names=[*(x.split(" ")[0] for x in ROW.split(", ")), *b.schema.names[4:]])
+                for c in (*out, source):
+                    c.clear()
+                return made
+
+            for at, (doc, text, runs, copy) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True)):
+                words = (text or "").encode().split()
+                if copy and len(words) >= width or not runs.is_valid:
+                    kept = [] if copy and len(words) >= width else words
+                    put(at, FINISHED, doc, len(words), len(words) - len(kept), _kept(text, words, kept, keep_text), None, None, None, None, None, None)
+                else:
+                    put(at, WAITING, doc, len(words), None, None, text, None, None, None, None, None)
+                    runs = runs.values
+                    for key, start, n, big in zip(*(runs.field(i).to_pylist() for i in range(4)), strict=True):
+                        put(at, SEGMENT, doc, None, None, None, None, key, start, n, b" ".join(words[start:start + n + width - 1]), big)
+                if len(source) > 20_000:
+                    yield flush()
+            if source:
+                yield flush()
     return op
 
 
-SEGMENT = "key long, doc_id long, start int, n short, seg binary, big boolean"
-
-
 def _windows(width: int):
     """The suffixes of distinct segments by their whole-width prefix, as a digest."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +221,10 @@ def _subtrees(width: int):
     return op
 
 
-def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(doc_id, lo, hi): word intervals covered by windows that start earlier elsewhere.
-
-    docs needs doc_id (integer) and text.  Null texts, empty texts and texts
-    of fewer than `width` words have no window; rows without doc_id have no
-    place in the order and are not judged.  Intervals may overlap.
-    """
-    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
+def _table(docs: DataFrame, extra: list[str], keep_text: bool, width: int, prefix: int, group_limit: int) -> DataFrame:
+    """Steps 1 and the look-up of words for step 2, written (rows as in ROW, and `extra`)."""
+    base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
+    texts = base.select("doc_id", "text").where("doc_id is not null and text is not null")
     runs = texts.mapInArrow(_runs(width, min(prefix, width)), "key long, doc_id long, start int, n short")
     counts = runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     wanted = (runs.join(counts, "key")
@@ -210,24 +233,45 @@ def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_lim
     digests = texts.select("doc_id", F.md5("text").alias("digest"))
     original = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least")
     copies = digests.join(original, "digest").where("doc_id > least").select("doc_id", F.lit(True).alias("copy")).distinct()
-    segments = cut(texts.join(wanted.join(copies, "doc_id", "left"), "doc_id").select("doc_id", "text", "runs", "copy").mapInArrow(_segments(width), SEGMENT))
-    whole = segments.where("key is null").select("doc_id", F.lit(0).alias("lo"), F.lit(END).alias("hi"))
-    trees = (segments.where("key is not null and not big").select("key", "doc_id", "start", "n", "seg")
+    kind = ROW + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in extra)
+    known = base.where("doc_id is not null").join(wanted.join(copies, "doc_id", "left"), "doc_id", "left").select("doc_id", "text", "runs", "copy", *extra)
+    # without an id there is nothing to join
+    others = base.where("doc_id is null").select("doc_id", "text", F.lit(None).cast(known.schema["runs"].dataType).alias("runs"), F.lit(None).cast("boolean").alias("copy"), *extra)
+    return cut(known.unionByName(others).mapInArrow(_segments(width, keep_text), kind))
+
+
+def _spans(table: DataFrame, width: int) -> DataFrame:
+    """(doc_id, lo, hi) from the segments of the table."""
+    segments = table.where(F.col("kind") == SEGMENT)
+    trees = (segments.where("not big").select("key", "doc_id", "start", "n", "seg")
              .repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(width), "doc_id long, lo int, hi int"))
     place = F.struct("doc_id", "start")
-    large = segments.where("key is not null and big").select("doc_id", "start", "n", "seg")
+    large = segments.where("big").select("doc_id", "start", "n", "seg")
     leaves = large.groupBy("seg").agg(F.min(place).alias("least"))
     again = large.join(leaves, "seg").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).cast("int").alias("hi"))
     nodes = leaves.select("seg", "least.doc_id", "least.start").mapInArrow(_windows(width), "node binary, doc_id long, start int")
     first = nodes.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").select("node", "least")
     later = nodes.join(first, "node").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
-    return whole.unionByName(trees).unionByName(again).unionByName(later)
+    return trees.unionByName(again).unionByName(later)
+
+
+def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """(doc_id, lo, hi): word intervals covered by windows that start earlier elsewhere.
+
+    docs needs doc_id (integer) and text.  Null texts, empty texts and texts
+    of fewer than `width` words have no window; rows without doc_id have no
+    place in the order and are not judged.  Intervals may overlap.
+    """
+    table = _table(docs, [], False, width, prefix, group_limit)
+    whole = table.where((F.col("kind") == FINISHED) & (F.col("n_removed") > 0)).select("doc_id", F.lit(0).alias("lo"), F.col("n_words").cast("int").alias("hi"))
+    return whole.unionByName(_spans(table, width))
 
 
 def _apply(keep_text: bool):
+    """in: doc_id, text, spans and further columns."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            total, removed, digest, kept_text = [], [], [], []
+            total, removed, left = [], [], []
             for text, spans in zip(b.column(1).to_pylist(), b.column(2), strict=True):
                 words = (text or "").encode().split()
                 kept = words
@@ -237,23 +281,21 @@ def _apply(keep_text: bool):
                     np.add.at(change, lo, 1)
                     np.add.at(change, hi, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
-                joined = b" ".join(kept)
                 total.append(len(words))
                 removed.append(len(words) - len(kept))
-                if keep_text:
-                    kept_text.append(text if len(kept) == len(words) else joined.decode())
-                else:
-                    digest.append(hashlib.sha256(joined).hexdigest())
-            last = pa.array(kept_text, pa.string()) if keep_text else pa.array(digest, pa.string())
-            yield pa.record_batch([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), last, *b.columns[3:]],
-                                  names=["doc_id", "n_words", "n_removed", "kept_text" if keep_text else "kept_sha256", *b.schema.names[3:]])
+                left.append(_kept(text, words, kept, keep_text))
+            yield pa.record_batch([b.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string()), *b.columns[3:]], names=["doc_id", "n_words", "n_removed", "kept", *b.schema.names[3:]])
     return op
 
 
-def _with_spans(docs: DataFrame, extra: list[str], **how) -> DataFrame:
-    spans = repeats(docs, **how).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
-    return base.join(spans, "doc_id", "left").select("doc_id", "text", "spans", *extra)
+def _applied(docs: DataFrame, extra: list[str], keep_text: bool, width: int = WIDTH, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """doc_id, n_words, n_removed, kept and extra for every row of docs; only texts with repeats meet their spans."""
+    table = _table(docs, extra, keep_text, width, prefix, group_limit)
+    spans = _spans(table, width).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    columns = ["doc_id", "n_words", "n_removed", "kept", *extra]
+    kind = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in extra)
+    waiting = table.where(F.col("kind") == WAITING).join(spans, "doc_id", "left").select("doc_id", "text", "spans", *extra).mapInArrow(_apply(keep_text), kind)
+    return table.where(F.col("kind") == FINISHED).select(*columns).unionByName(waiting)
 
 
 def dedup_substrings(docs: DataFrame, **how) -> DataFrame:
@@ -262,7 +304,7 @@ def dedup_substrings(docs: DataFrame, **how) -> DataFrame:
     A null text counts as one without words.  Other columns are not read.  Rows
     that repeat a doc_id with the same text are one document and each returned.
     """
-    return _with_spans(docs, [], **how).mapInArrow(_apply(False), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _applied(docs, [], False, **how).withColumnRenamed("kept", "kept_sha256")
 
 
 def rewrite_documents(docs: DataFrame, **how) -> DataFrame:
@@ -271,7 +313,5 @@ def rewrite_documents(docs: DataFrame, **how) -> DataFrame:
     Texts that lose nothing stay as they are; the others become their kept
     words joined by single spaces, with n_chars to match.
     """
-    return (_with_spans(docs, ["lang", "source", "n_chars"], **how)
-            .mapInArrow(_apply(True), "doc_id long, n_words long, n_removed long, kept_text string, lang string, source string, n_chars long")
-            .select("doc_id", F.col("kept_text").alias("text"), "lang", "source",
-                    F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")))
+    return _applied(docs, ["lang", "source", "n_chars"], True, **how).select(
+        "doc_id", F.col("kept").alias("text"), "lang", "source", F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

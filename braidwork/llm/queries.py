@@ -16,8 +16,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """A result of a few bytes a document, gathered so that it is not written as a small file for each input split."""
+    return df.hint("rebalance")
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return few_files(substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +30,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return few_files(packing.pack(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return few_files(langid.identify(table(spark, sf_dir, "documents")))
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +42,7 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return few_files(quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,11 +50,11 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.recognise(table(spark, sf_dir, "documents"))
+    return few_files(licenses.recognise(table(spark, sf_dir, "documents")))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return few_files(decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,8 @@ into a probability.
 
 Fitting uses a bounded sample, SAMPLE labelled texts of either kind for the
 dictionaries and as many for the curve, the ones with the least hash of their
-text, each cut to SAMPLE_BYTES; everything gathered is bounded by that.  Scoring
-reads every text whole, in one narrow pass.
+id, each cut to SAMPLE_BYTES; everything gathered or broadcast is bounded by
+that.  Scoring reads every text whole, in one narrow pass.
 """
 
 from __future__ import annotations
@@ -80,19 +80,25 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
-def fit(labelled: DataFrame) -> Model:
-    """Learn from labelled (text, label): a bounded sample of either label by least hash.
+def fit(docs: DataFrame, known: DataFrame) -> Model:
+    """Learn from docs (doc_id, text) with known labels (doc_id, label): a bounded sample of either label.
 
-    The curve's intercept is moved to the labels' true proportion afterwards.
+    The sample is drawn from the labels, so its size is known before any text
+    is read and it can be broadcast: texts are not shuffled.  The curve's
+    intercept is moved to the labels' true proportion afterwards.
     """
-    usable = labelled.where("text is not null and label in (0, 1)").select("text", F.col("label").cast("int").alias("label"))
-    counts = dict(usable.groupBy("label").count().collect())
-    h = F.xxhash64("text")
-    rows = []
+    counts = dict(known.groupBy("label").count().collect())
+    h = F.xxhash64("doc_id")
+    picked = None
     for k, n in counts.items():
         # a cut by hash leaves a few samples' worth of rows, whatever the input, of which the least are taken
-        some = usable.where(F.col("label") == k).where(F.shiftrightunsigned(h, 1) <= min(2**63 - 1, 2**63 * 4 * SAMPLE // n))
-        rows += some.select("label", h.alias("h"), F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text")).orderBy("h").limit(2 * SAMPLE).toArrow().to_pylist()
+        some = known.where(F.col("label") == k).where(F.shiftrightunsigned(h, 1) <= min(2**63 - 1, 2**63 * 4 * SAMPLE // n)).orderBy(h, "doc_id").limit(2 * SAMPLE)
+        picked = some if picked is None else picked.unionByName(some)
+    rows = []
+    if picked is not None:
+        texts = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
+        rows = texts.select("label", F.xxhash64("text").alias("h"), F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text")).toArrow().to_pylist()
+        rows.sort(key=lambda r: (r["h"], r["label"], r["text"]))
     kinds = [[r["text"] for r in rows if r["label"] == k and r["text"]] for k in (0, 1)]
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     prior = np.log(share / (1 - share))
@@ -132,8 +138,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     empty ones.  Without labels of both kinds every score is the share of good
     labels, 0.5 without any.
     """
-    known = labels.select("doc_id", F.col("quality").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
-    model = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
+    model = fit(docs.select("doc_id", "text"), known)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out(), F.lit(False)).alias("held_out"))
     return rows.mapInArrow(_score(shared, threshold), "doc_id long, held_out boolean, score double, predicted int")

@@ -226,7 +226,8 @@ def _table(docs: DataFrame, extra: list[str], keep_text: bool, width: int, prefi
     base = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra)
     texts = base.select("doc_id", "text").where("doc_id is not null and text is not null")
     runs = texts.mapInArrow(_runs(width, min(prefix, width)), "key long, doc_id long, start int, n short")
-    counts = runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # written, so that the join below is one of two plain exchanges, whose hot partitions Spark splits
+    counts = cut(runs.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
     wanted = (runs.join(counts, "key")
               .groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "n", (F.col("members") > group_limit).alias("big"))).alias("runs")))
     # all of a document that has the text of an earlier one is covered, so its runs need no further look
@@ -247,7 +248,7 @@ def _spans(table: DataFrame, width: int) -> DataFrame:
              .repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(width), "doc_id long, lo int, hi int"))
     place = F.struct("doc_id", "start")
     large = segments.where("big").select("doc_id", "start", "n", "seg")
-    leaves = large.groupBy("seg").agg(F.min(place).alias("least"))
+    leaves = cut(large.groupBy("seg").agg(F.min(place).alias("least")))  # written for the same reason
     again = large.join(leaves, "seg").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).cast("int").alias("hi"))
     nodes = leaves.select("seg", "least.doc_id", "least.start").mapInArrow(_windows(width), "node binary, doc_id long, start int")
     first = nodes.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").select("node", "least")

@@ -225,3 +225,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     return (keyed.select("vec_id", *key).join(near, key, "left")
             .select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))))
+
+
+#: The exact result in DuckDB SQL over `embeddings` by comparing all pairs of a label; the index may miss links of it.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.node)
+SELECT vec_id, coalesce(k, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM embeddings
+LEFT JOIN (SELECT a AS vec_id, count(*) AS k FROM l GROUP BY a) USING (vec_id) LEFT JOIN (SELECT node AS vec_id, min(c) AS c FROM r GROUP BY node) USING (vec_id)"""

@@ -67,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_licenses": licenses.oracle(), "op10_chat_formatting": chat_formatting.ORACLE}
+    return {"op1_substring_dedup": substring_dedup.ORACLE, "op7_embedding_dedup": embedding_dedup.ORACLE, "op8_licenses": licenses.oracle(), "op10_chat_formatting": chat_formatting.ORACLE}

@@ -16,8 +16,10 @@ are verified on all 64 bits.
 How it scales.  Equal fingerprints (exact copies, or empty texts) become one
 row before the join, by a pre-aggregated minimum.  A cell yields a spanning
 forest of its links, never all pairs: the search from a member only looks at
-members not yet reached, so a dense cell costs little more than its size.
-Components are found by distributed star steps.
+members not yet reached, so a dense cell costs little more than its size.  A
+crowded cell is compared by pairs of blocks, in tasks of their own; together
+their forests connect what the cell connects.  Components are found by
+distributed star steps.
 """
 
 from __future__ import annotations
@@ -32,9 +34,11 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.components import components
 from braidwork.llm.scratch import cut, small_batches
-from braidwork.llm.words import slices
+from braidwork.llm.words import mix, slices
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: Fingerprints of one cell that are compared together; larger cells are split into pairs of blocks.
+CELL_LIMIT = 1 << 16
 U = np.uint64
 
 
@@ -81,31 +85,91 @@ def _steps(radius: int) -> list[tuple[tuple[int, int], ...]]:
     return list(moves)
 
 
+def homes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The grid cell of each fingerprint in either half; the half is bit 32."""
+    embedded = counts(fp)
+    return tuple((embedded >> U(32 * half)) & U(0xFFFFFFFF) | U(half) << U(32) for half in (0, 1))
+
+
+def around(cell: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index into cell, cell): the cells within the radius of each cell, itself included."""
+    index, out = [], []
+    for move in _steps(radius):
+        ok, to = np.ones(len(cell), bool), cell
+        for axis, by in move:
+            value = ((cell >> U(2 * axis)) & U(3)).astype(np.int64) + by
+            ok &= (value >= 0) & (value <= 2)
+            to = (to & U(~(3 << (2 * axis)) & (1 << 64) - 1)) | (np.clip(value, 0, 3).astype(U) << U(2 * axis))
+        index.append(np.flatnonzero(ok))
+        out.append(to[ok])
+    return np.concatenate(index), np.concatenate(out)
+
+
+def reach(distance: int) -> int:
+    """How far from its own cell a fingerprint has to visit in either half."""
+    return (distance // 2 + 1) // 2
+
+
 def cells(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """(index into fp, cell): the grid cells that each fingerprint visits in both halves."""
-    embedded = counts(fp)
-    radius = (distance // 2 + 1) // 2
-    index, cell = [], []
-    for half in (0, 1):
-        here = (embedded >> U(32 * half)) & U(0xFFFFFFFF)
-        for move in _steps(radius):
-            ok, to = np.ones(len(fp), bool), here
-            for axis, by in move:
-                value = ((here >> U(2 * axis)) & U(3)).astype(np.int64) + by
-                ok &= (value >= 0) & (value <= 2)
-                to = (to & U(~(3 << (2 * axis)) & 0xFFFFFFFF)) | (np.clip(value, 0, 3).astype(U) << U(2 * axis))
-            index.append(np.flatnonzero(ok))
-            cell.append(to[ok] | (U(half) << U(32)))
-    return np.concatenate(index), np.concatenate(cell)
-
-
-def _visit(distance: int):
+    got = [around(h, reach(distance)) for h in homes(fp)]
+    return np.concatenate([i for i, _ in got]), np.concatenate([c for _, c in got])
+
+
+def _count_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cell, c = np.unique(np.concatenate(homes(b.column(0).to_numpy(zero_copy_only=False).view(U))), return_counts=True)
+        yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(c.astype(np.int64))], names=["cell", "c"])
+
+
+def _spread(distance: int):
+    """(cell, visits) from heavy home cells (cell, c)."""
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = b.column(1).to_numpy(zero_copy_only=False)
+            index, cell = around(b.column(0).to_numpy(zero_copy_only=False).view(U), reach(distance))
+            yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(c[index])], names=["cell", "c"])
+    return op
+
+
+def crowded(distinct: DataFrame, distance: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, blocks): the cells with over `limit` visits from heavy home cells, sorted, and in how many blocks to compare them.
+
+    A home is heavy with limit / moves fingerprints, so a cell that is not
+    listed has at most 2 x limit visits.  Visits are moves x 2 for each
+    fingerprint, so at most that many / limit cells are listed.
+    """
+    moves = len(_steps(reach(distance)))
+    heavy = distinct.select("fp").mapInArrow(_count_homes, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") >= max(1, limit // moves))
+    big = heavy.mapInArrow(_spread(distance), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") > limit).toArrow()
+    cell, c = big["cell"].to_numpy().view(U), big["c"].to_numpy()
+    order = np.argsort(cell)
+    return cell[order], 2 * -(-c[order] // limit)
+
+
+def _visit(distance: int, shared):
+    """(cell, fp) for every visit; in a crowded cell once for each pair of blocks that the fingerprint is in, the pair above bit 33."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big, blocks = shared.value
         for b in batches:
-            fp = b.column(0).to_numpy(zero_copy_only=False).view(U)
-            for at in range(0, len(fp), 4096):
-                index, cell = cells(fp[at:at + 4096], distance)
-                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(fp[at:at + 4096][index].view(np.int64))], names=["cell", "fp"])
+            every = b.column(0).to_numpy(zero_copy_only=False).view(U)
+            for at in range(0, len(every), 4096):
+                part = every[at:at + 4096]
+                index, cell = cells(part, distance)
+                fp = part[index]
+                if len(big):
+                    place = np.minimum(np.searchsorted(big, cell), len(big) - 1)
+                    hit = np.flatnonzero(big[place] == cell)
+                    if len(hit):
+                        n = blocks[place[hit]]
+                        own = (mix(fp[hit]) % n.astype(U)).astype(np.int64)
+                        other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                        own, many, rows = np.repeat(own, n), np.repeat(n, n), np.repeat(hit, n)
+                        pair = np.minimum(own, other) * many + np.maximum(own, other) + 1
+                        keep = np.ones(len(cell), bool)
+                        keep[hit] = False
+                        cell, fp = np.concatenate([cell[keep], cell[rows] | pair.astype(U) << U(33)]), np.concatenate([fp[keep], fp[rows]])
+                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(fp.view(np.int64))], names=["cell", "fp"])
     return op
 
 
@@ -193,11 +257,12 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
 
 
-def fingerprint_groups(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def fingerprint_groups(fps: DataFrame, distance: int = DISTANCE, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of fps (doc_id, fp)."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # a cell can be large, and is then one task's work; its rows are 16 bytes each
-    links = (distinct.select("fp").mapInArrow(_visit(distance), "cell long, fp long")
+    limit = max(cell_limit, distinct.count() // 10_000)
+    shared = distinct.sparkSession.sparkContext.broadcast(crowded(distinct, distance, limit))
+    links = (distinct.select("fp").mapInArrow(_visit(distance, shared), "cell long, fp long")
              .repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(distance), "x long, y long").distinct())
     ends = distinct.where("rep is not null")
     edges = (links.join(ends.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x")

@@ -49,8 +49,10 @@ def test_chains_of_close_fingerprints(spark):
         fps[i] = base
     for distance in (0, 1, 3, 4, 5):
         df = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in fps.items()], "doc_id long, fp long")
-        groups = {r.fp: r.component_id for r in m.fingerprint_groups(df, distance).collect()}
-        assert {i: groups[int(np.uint64(f).astype(np.int64))] for i, f in fps.items()} == brute(fps, distance)
+        want = brute(fps, distance)
+        for limit in (3, 1 << 16):
+            groups = {r.fp: r.component_id for r in m.fingerprint_groups(df, distance, limit).collect()}
+            assert {i: groups[int(np.uint64(f).astype(np.int64))] for i, f in fps.items()} == want
 
 
 def test_cells_of_linked_fingerprints_meet():
@@ -64,6 +66,20 @@ def test_cells_of_linked_fingerprints_meet():
         assert set(cell[index == 0].tolist()) & set(cell[index == 1].tolist())
 
 
+def test_crowded_cells_are_split(spark):
+    rng = random.Random(6)
+    center = rng.getrandbits(64)
+    fps = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(3))) for _ in range(300)})
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    cell, blocks = m.crowded(df, 4, 20)
+    visits = {}
+    index, to = m.cells(np.array(fps, np.uint64), 4)
+    for c in to.tolist():
+        visits[c] = visits.get(c, 0) + 1
+    assert len(cell) and {c for c, n in visits.items() if n > 40} <= set(cell.tolist()) <= {c for c, n in visits.items() if n > 20}
+    assert (blocks >= 4).all()
+
+
 def test_odd_rows(odd):
     got = m.near_duplicates(odd).collect()
     assert len(got) == odd.count()

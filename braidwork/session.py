@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -25,7 +26,7 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(archive))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A standard table by its folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,8 +43,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def written(df):
+_made: list[tuple[SparkSession, str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/braidwork-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/braidwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Delete the tables that written() has made; results not yet read need them."""
+    while _made:
+        spark, path = _made.pop()
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session may have ended; nothing is left to do then
+            return
+
+
+atexit.register(release)

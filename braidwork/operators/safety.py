@@ -37,6 +37,7 @@ def verdict(text: Column, patterns=PATTERNS) -> Column:
 
 
 def route(messages: DataFrame, column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(passed rows, blocked rows with reason)."""
-    judged = messages.withColumn("verdict", verdict(F.col(column)))
-    return judged.where("verdict.passed").drop("verdict"), judged.where("not verdict.passed").withColumn("reason", F.col("verdict.reason")).drop("verdict")
+    """(passed rows, blocked rows with reason); either side evaluates the patterns once."""
+    why = reason(F.col(column))
+    found = F.filter(F.array(why), lambda r: r != "")  # exploding keeps the optimizer from computing it in a filter again
+    return messages.where(why == ""), messages.select("*", F.explode(found).alias("reason"))

@@ -4,14 +4,16 @@ Logs often hold a conversation many times, once for each turn it grew by.
 Every turn gets the rolling hash of the conversation up to it; a conversation
 whose whole hash is a shorter prefix of another one, or equals that of one
 with a smaller id, is a snapshot and goes by an anti-join.  What is left is
-rendered as one training text.
+rendered as training text.
 
 How it scales.  A turn's hash mixes its place, role and text into 128 bits,
 and the rolling hash is the exclusive or of them, so it needs one running
 aggregate over 32-byte rows: texts are not shuffled for it.  Prefixes are made
 distinct before the join with map-side aggregation, so a first turn that a
 third of all conversations share is one row a task, and the anti-join reads
-each distinct prefix once.  Only turns of kept conversations shuffle text.
+each distinct prefix once.  Only turns of kept conversations shuffle text.  The
+turns of one conversation are put in order by one task, which spills, and long
+conversations are rendered in parts.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+PART_TURNS = 10_000
 
 
 def prefixes(conversations: DataFrame) -> DataFrame:
@@ -41,29 +44,33 @@ def maximal(conversations: DataFrame) -> DataFrame:
     return whole.join(shorter, key, "left_anti").select("conv_id", F.col("place").alias("n_turns"), "n_copies")
 
 
-def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, n_copies, rendered: one row for each maximal conversation.
+def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """conv_id, part, n_turns, n_copies, rendered: the maximal conversations.
 
     Turns are in order of turn, then role, then text digest; a null turn comes
     first, null roles and texts are empty strings.  Turns without conv_id
-    belong to no conversation.  A repeated row is a turn of its own.  n_copies
-    counts the conversations with exactly these turns, of which the smallest
-    conv_id stays.
+    belong to no conversation.  A repeated row is a turn of its own.  n_turns
+    and n_copies are those of the conversation: n_copies counts the
+    conversations with exactly these turns, of which the smallest conv_id
+    stays.  A conversation is one row, part 0; one of over part_turns turns has
+    a row for each part_turns of them, as a row must fit in memory.
     """
     kept = maximal(conversations)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
-    lines = turns.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("turn").isNotNull().alias("has"), "turn", "role", F.md5("text").alias("tie"), "text"))).alias("turns"))
-    shown = F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE + "\n")))
-    return lines.select("conv_id", F.col("n_turns").cast("int").alias("n_turns"), "n_copies", F.array_join(shown, "").alias("rendered"))
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.md5("text"))
+    line = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
+    lines = turns.join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", line.alias("line"), (F.row_number().over(order) - 1).alias("at"))
+    parts = lines.groupBy("conv_id", F.floor(F.col("at") / part_turns).cast("int").alias("part"), "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    return parts.select("conv_id", "part", F.col("n_turns").cast("int").alias("n_turns"), "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
 
 
 ORACLE = f"""
 WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 p AS (SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
-  string_agg('{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING) AS s
+  '{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10) AS line, string_agg('{OPEN}' || role || chr(10) || text || '{CLOSE}' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text) ROWS UNBOUNDED PRECEDING) AS s
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
-whole AS (SELECT place, s, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY place, s)
-SELECT conv_id, CAST(place AS INTEGER) AS n_turns, n_copies, s AS rendered FROM whole
-WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = whole.place AND p.s = whole.s AND p.place < p.n)"""
+whole AS (SELECT place, s, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY place, s),
+kept AS (SELECT conv_id, place AS n_turns, n_copies FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = whole.place AND p.s = whole.s AND p.place < p.n))
+SELECT conv_id, CAST((place - 1) // {PART_TURNS} AS INTEGER) AS part, CAST(n_turns AS INTEGER) AS n_turns, n_copies, string_agg(line, '' ORDER BY place) AS rendered
+FROM kept JOIN p USING (conv_id) GROUP BY ALL"""

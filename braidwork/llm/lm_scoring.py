@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braidwork.llm.scratch import cut, small_batches
-from braidwork.llm.words import LOWER, U, Words, mix, slices
+from braidwork.llm.words import LOWER, U, Words, mix, slices, trim
 
 DEPTH, GRAMS, SLOTS, HOT = 5, 1 << 20, 1 << 23, 1 << 18
 CACHE = 1 << 20
@@ -76,7 +76,7 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[new], np.add.reduceat(count, new) if len(new) else count
 
 
-def _count_grams(depth: int, held: int = 1 << 22):
+def _count_grams(depth: int, held: int = 1 << 21):
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, size = [], [], 0
 
@@ -100,6 +100,7 @@ def _count_grams(depth: int, held: int = 1 << 22):
                     size = 0
         if keys:
             yield from out()
+        trim()
     return op
 
 
@@ -254,8 +255,8 @@ class Memory:
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, occurrences in learning texts, in all texts), summed over 16 MB of text."""
-    for b in slices(batches, limit=16 << 20):
+    """(word hash, occurrences in learning texts, in all texts), summed over a slice of text."""
+    for b in slices(batches):
         w = Words(b.column(0))
         learns = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
         per_word = np.repeat(learns, np.diff(w.first))
@@ -263,6 +264,7 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = np.bincount(back, weights=per_word, minlength=len(h)).astype(np.int64)
         for k in range(0, len(h), 100_000):
             yield pa.record_batch([pa.array(x[k:k + 100_000]) for x in (h.view(np.int64), learned, times.astype(np.int64))], names=["h", "c", "times"])
+    trim()
 
 
 def _tokens(model, common):
@@ -294,6 +296,8 @@ def _tokens(model, common):
                 for k in range(0, len(new), 100_000):
                     x = new[k:k + 100_000]
                     yield _batch(doc[rare_row[x]], rare[x], tf[k:k + 100_000])
+        del memory
+        trim()
     return op
 
 

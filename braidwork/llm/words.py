@@ -6,12 +6,15 @@ pattern [^\\x20\\x09-\\x0D]+ on UTF-8 text, unless another byte class is given.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 
+_libc = ctypes.CDLL(None)
 U = np.uint64
 SPAN = 1 << 20
 MULT = U(0x9E3779B97F4A7C15 | 1)
@@ -49,8 +52,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+def trim() -> None:
+    """Give freed memory back to the system.
+
+    Python workers live on between tasks and stages, and what the allocators
+    keep counts against the executor.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has at most `limit` bytes of `column`, or one row."""
+    """Cut batches so that each has at most `limit` bytes of `column`, or one row; tidy up after the last."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -63,6 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = min(n, max(at + 1, to))
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 class Words:

@@ -231,7 +231,11 @@ def fit(texts: DataFrame, depth: int = DEPTH, most: int = GRAMS, slots: int = SL
     """The weighted tree of all rows of texts (text)."""
     grams = cut(texts.select("text").mapInArrow(_count_grams(depth), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     got = bounded_grams(grams, depth, most)
-    return Tree(got["key"].to_numpy().view(U), got["depth"].to_numpy(), got["c"].to_numpy(), depth, slots)
+    trim()
+    tree = Tree(got["key"].to_numpy().view(U), got["depth"].to_numpy(), got["c"].to_numpy(), depth, slots)
+    del got
+    trim()
+    return tree
 
 
 class Memory:

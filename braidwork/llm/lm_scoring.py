@@ -40,7 +40,7 @@ from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import LOWER, U, Words, mix, slices, trim
 
 DEPTH, GRAMS, SLOTS, HOT = 5, 1 << 20, 1 << 23, 1 << 18
-CACHE = 1 << 20
+CACHE, SLICE = 1 << 20, 1 << 20
 
 
 def byte_stream(w: Words, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +87,7 @@ def _count_grams(depth: int, held: int = 1 << 21):
             for k in range(0, len(key), 100_000):
                 yield pa.record_batch([pa.array(key[k:k + 100_000].view(np.int64)), pa.array(count[k:k + 100_000])], names=["key", "c"])
 
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):
             key, count = np.unique(byte_stream(Words(b.column(0)), depth)[0], return_counts=True)
             keys.append(key)
             counts.append(count.astype(np.int64))
@@ -277,7 +277,7 @@ def _tokens(model, common):
         tree: Tree = model.value
         keys, c, base = common.value
         memory = Memory(tree)
-        for b in slices(batches):
+        for b in slices(batches, limit=SLICE):  # some 100 bytes of arrays for each byte of text
             ids, texts = b.column(0), b.column(1)
             rows = b.num_rows
             w = Words(texts)

@@ -133,3 +133,13 @@ def test_odd_rows(odd):
 
 def test_empty(empty):
     assert m.score(empty, slots=1 << 16).count() == 0
+
+
+@pytest.mark.parametrize(("most", "slots"), [(30, 1 << 8), (1 << 20, 1 << 20)])
+def test_scores_are_those_of_the_whole_tree(spark, most, slots):
+    texts = ["the cat sat on the mat", "The dog sat", "a cat, a dog and a mat " * 3, "", "zebra \u00fc mat on", "THE DOG and the Mat"]
+    rows = [*((i, t) for i, t in enumerate(texts * 3)), (3, ""), (4, texts[4])]
+    plain = PlainTree([stream(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], m.DEPTH)
+    got = m.score(spark.createDataFrame(rows, "doc_id long, text string"), most=most, slots=slots).collect()
+    assert any(r.held_out for r in got) and len(got) == len(rows)
+    assert [r.score for r in sorted(got, key=lambda r: r.doc_id)] == pytest.approx([plain.log10(stream(t)) for _, t in sorted(rows)], rel=1e-9)

@@ -1,0 +1,66 @@
+import random
+
+import pytest
+
+import corpus_pipeline
+from braidwork.llm import similarity as m
+
+
+def shingles(text):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def brute(texts):
+    """doc_id -> smallest doc_id reachable by similarities of 0.8 or more."""
+    sets, top = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and jaccard(sets[i], sets[j]) >= 0.8:
+                p, q = find(i), find(j)
+                top[max(p, q)] = min(p, q)
+    return {i: find(i) for i in texts}
+
+
+@pytest.fixture(scope="module")
+def near(documents):
+    """Documents and copies of some with a few words changed."""
+    rng, texts = random.Random(3), {r.doc_id: r.text for r in documents.collect()}
+    base = [t for t in texts.values() if t and 60 <= len(t.split()) <= 400][:25]
+    for k in range(150):
+        words = rng.choice(base).split()
+        for at in rng.sample(range(len(words)), rng.randrange(1, 2 + len(words) // 40)):
+            words[at] = f"new{rng.randrange(9)}"
+        texts[1_000_000 + k] = " ".join(words)
+    return texts
+
+
+@pytest.mark.parametrize("limit", [500, m.CLUSTER_LIMIT])
+def test_groups_match_brute_force(spark, near, limit):
+    df = spark.createDataFrame(list(near.items()), "doc_id long, text string")
+    want = brute(near)
+    got = {r.doc_id: r.component_id for r in m.groups(df, limit=limit).collect()}
+    assert got == want
+    assert sum(i != c for i, c in want.items()) > 80
+
+
+def test_the_stage_keeps_one_of_each_group(spark, sf, documents, near):
+    df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in near.items()], documents.schema)
+    want = brute(near)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()} == set(want.values())
+
+
+def test_odd_rows(odd, empty):
+    assert sorted(r.doc_id for r in m.representatives(odd).where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 9, 10]
+    assert m.representatives(odd).where("doc_id is null").count() == 2
+    assert m.representatives(empty).count() == 0

@@ -2,7 +2,10 @@
 
 A document is contaminated by an item if some word window of it is within
 `ratio` x (words of the item) word edits of the item.  Words are runs of
-letters and digits, A-Z lower-cased, so punctuation and spacing do not count.
+letters and digits, A-Z lower-cased, so punctuation and spacing do not count;
+in scripts without spaces (Chinese, Japanese, Thai, Lao, Burmese, Khmer) each
+character is a word.  Items of fewer than MIN_WORDS words match without edits:
+their words are looked up as one gram and compared.
 
 1. Seeds.  A window within k edits of an item of W words shares at least
    W - q + 1 - k q of its q-word grams with it (q-gram lemma), and q is chosen
@@ -36,22 +39,62 @@ from braidwork.llm.scratch import small_batches
 from braidwork.llm.words import ALNUM, LOWER, U, Words, grams, mix, slices
 
 RATIO, GRAM, MIN_WORDS = 0.2, 3, 6
+#: Items with fewer bytes of letters and digits (eight Latin letters, three Chinese characters) are no evidence of a leak.
+MIN_BYTES = 8
 RECALL, AGREE, SAMPLED = 0.99, 0.6, 3
 BLOCK_BYTES = 16 << 20
 
 
+#: First two bytes of characters that are words of their own: Thai and Lao, Burmese, Khmer, kana and bopomofo, Han.
+_ALONE = np.zeros((256, 256), bool)
+for _lead, _from, _to in ((0xE0, 0xB8, 0xBB), (0xE1, 0x80, 0x82), (0xE1, 0x9E, 0x9F), (0xE3, 0x81, 0x84), (0xE3, 0x90, 0xBF), (0xEF, 0xA4, 0xAB), (0xF0, 0xA0, 0xB3)):
+    _ALONE[_lead, _from:_to + 1] = True
+_ALONE[0xE4:0xEA, 0x80:0xC0] = True
+#: Punctuation of these scripts, which separates.
+_MARKS = np.array(sorted(int.from_bytes(chr(c).encode(), "big") for c in [*range(0x3000, 0x3004), *range(0x3008, 0x3020), 0x3030, 0x30FB, *range(0xFF01, 0xFF10), *range(0xFF1A, 0xFF21), *range(0xFF3B, 0xFF41), *range(0xFF5B, 0xFF66)]))
+
+
+def tokens(text: pa.Array) -> Words:
+    """Words of letters and digits; characters of scripts without spaces are words of their own."""
+    w = Words(text, ALNUM)
+    at = np.flatnonzero(w.data >= 0xE0)
+    at = at[at + 2 < len(w.data)]
+    if not len(at):
+        return w
+    lead, second, third = (w.data[at + i].astype(np.int64) for i in range(3))
+    mark = np.isin(lead << 16 | second << 8 | third, _MARKS)
+    some = _ALONE[lead, second] | mark
+    marks, at, size = at[mark], at[some], np.where(lead[some] >= 0xF0, 4, 3)
+    if not len(at):
+        return w
+    cuts = np.unique(np.concatenate([at, at + size]))
+    word = np.searchsorted(w.start, cuts, side="right") - 1
+    cuts = cuts[(word >= 0) & (cuts > w.start[word]) & (cuts < w.end[word])] if len(w) else cuts[:0]
+    start, end = np.sort(np.concatenate([w.start, cuts])), np.sort(np.concatenate([w.end, cuts]))
+    keep = ~np.isin(start, marks)
+    w.start, w.end = start[keep], end[keep]
+    w.first = np.searchsorted(w.start, w.offsets)
+    return w
+
+
 class Items:
     """The items of one block as word hashes, with their gram index."""
 
     def __init__(self, ids: list[int], texts: list[str], ratio: float):
-        w = Words(pa.array(texts, pa.string()), ALNUM)
+        w = tokens(pa.array(texts, pa.string()))
         h = w.hashes(LOWER)
         self.ids = np.array(ids, np.int64)
         self.words = [h[w.first[i]:w.first[i + 1]] for i in range(len(ids))]
         self.sizes = np.array([len(x) for x in self.words], np.int64)
-        self.edits = np.floor(self.sizes * ratio + 1e-9).astype(np.int64)
+        self.edits = np.where(self.sizes < MIN_WORDS, 0, np.floor(self.sizes * ratio + 1e-9).astype(np.int64))
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by words: (grams of the whole items, sorted, and their items)
+        for size in np.unique(self.sizes[(self.sizes > 0) & (self.sizes < MIN_WORDS)]).tolist():
+            some = np.flatnonzero(self.sizes == size)
+            whole = np.concatenate([grams(self.words[i], size) for i in some.tolist()])
+            order = np.argsort(whole, kind="stable")
+            self.short[size] = (whole[order], some[order])
         self.need = np.maximum(1, self.sizes - GRAM + 1 - self.edits * GRAM)
-        keys = [grams(x, GRAM) for x in self.words]
+        keys = [grams(x if len(x) >= MIN_WORDS else x[:0], GRAM) for x in self.words]
         key = np.concatenate(keys) if keys else np.empty(0, U)
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         place = np.concatenate([np.arange(len(k)) for k in keys]) if keys else np.empty(0, np.int64)
@@ -129,12 +172,28 @@ def fit_distance(item: list, text: list, most: int) -> int:
     return min(before)
 
 
+def exact(w: Words, h: np.ndarray, items: Items) -> Iterator[tuple[int, int, int, int]]:
+    """Like matches(), for the items of fewer than MIN_WORDS words."""
+    for size, (whole, item) in items.short.items():
+        gram = grams(h, size)
+        lo, hi = np.searchsorted(whole, gram, side="left"), np.searchsorted(whole, gram, side="right")
+        at = np.flatnonzero(hi > lo)
+        row = np.searchsorted(w.first, at, side="right") - 1
+        found = set()
+        for r, a in zip(row.tolist(), at.tolist(), strict=True):
+            if a + size <= w.first[r + 1]:  # not across documents
+                found |= {(r, i) for i in item[lo[a]:hi[a]].tolist() if (items.words[i] == h[a:a + size]).all()}
+        for r, i in sorted(found):
+            yield r, int(items.ids[i]), 0, size
+
+
 def matches(text: pa.Array, items: Items, tables: int) -> Iterator[tuple[int, int, int, int]]:
     """(row, item_id, edits, words of the item) for each row of text and item that matches it."""
-    w = Words(text, ALNUM)
+    w = tokens(text)
+    h = w.hashes(LOWER)
+    yield from exact(w, h, items)
     if len(w) < GRAM:
         return
-    h = w.hashes(LOWER)
     position, item, place = items.seeds(grams(h, GRAM))
     if not len(position):
         return
@@ -195,8 +254,10 @@ def _item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator:
     numbered = usable.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
     for k in range(blocks):
         rows = numbered.where(F.col("block") == k).select("item_id", "text").distinct().orderBy("item_id", "text").toArrow()
-        sizes = np.diff(Words(rows["text"].combine_chunks().cast(pa.string()), ALNUM).first) if rows.num_rows else np.empty(0, int)
-        rows = rows.filter(pa.array(sizes >= MIN_WORDS))
+        if rows.num_rows:
+            w = tokens(rows["text"].combine_chunks().cast(pa.string()))
+            total = np.concatenate(([0], np.cumsum(w.end - w.start)))[w.first]
+            rows = rows.filter(pa.array(np.diff(total) >= MIN_BYTES))
         if rows.num_rows:
             yield spark.sparkContext.broadcast((rows["item_id"].to_pylist(), rows["text"].to_pylist()))
 
@@ -210,7 +271,8 @@ def _checked(ratio: float) -> float:
 def contaminated(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, recall: float = RECALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, edits, item_words): items found in documents, with the edits of the best match tried.
 
-    Items of fewer than MIN_WORDS words, null or empty ones included, are no
+    Items of fewer than MIN_WORDS words match exactly.  Those with fewer than
+    MIN_BYTES bytes of letters and digits, null or empty ones included, are no
     evidence of a leak and are left out; so are null and empty documents, which
     hold no window.  Repeated rows give repeated results.  ratio is at most 0.2,
     for which three-word seeds are exact.

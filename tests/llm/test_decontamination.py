@@ -90,3 +90,13 @@ def test_embedding_of_equal_windows():
 def test_ratio_is_checked(documents):
     with pytest.raises(ValueError):
         m.contaminated(documents, documents.selectExpr("doc_id as item_id", "text"), ratio=0.5)
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Boiling point, argon?"), (2, "photosynthesis"), (3, "水的沸点在标准大气压下是多少摄氏度"), (4, "ประเทศไทย"), (5, "日本の首都はどこですか。"), (6, "yes"), (7, "水的沸点在标准大气压下是多少摄氏度呢还有冰点")]
+    docs = [(1, "its boiling POINT argon has"), (2, "boiling argon point"), (3, "Photosynthesis."), (4, "photosynthesise, yes"), (5, "前言。水的沸点在标准大气压下是多少摄氏度？后记"),
+            (6, "前言水的沸点在标准大气压是多少华氏度后记"), (7, "ฉันรักประเทศไทยมาก"), (8, "問題:日本の首都は、どこですか"), (9, "boiling point"), (10, "argon"), (11, "水的冰点"), (12, None)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.edits, r.item_words) for r in m.contaminated(df, bench).collect()}
+    assert got == {(1, 1): (0, 3), (3, 2): (0, 1), (5, 3): (0, 17), (6, 3): (2, 17), (7, 4): (0, 9), (8, 5): (0, 11)}
+    assert {r.doc_id for r in m.clean_documents(df, bench).collect()} == {2, 4, 9, 10, 11, 12}

@@ -1,9 +1,11 @@
 """License recognition by sentence rules, with SQL functions only.
 
 A text is normalised (A-Z lower-cased, all but letters, digits and sentence
-ends become single spaces) and split into sentences at line ends and after
-. ! ? before a space.  Sentences that are known licence sentences become their
-identifiers; the others vanish.  Each licence is an ordered rule: a list of
+ends become single spaces) and split into pieces at line ends and after
+. ! ? before a space.  Pieces that are known licence sentences, alone or joined
+over the ends of neighbouring lines, become their identifiers; the others
+vanish.  A blank line and . ! ? before a space are never joined over, and
+comment signs at the start of a line do not count.  Each licence is an ordered rule: a list of
 identifiers that must follow one another in that sequence, with other known
 sentences allowed between.  Rules of the same family are ordered from specific
 to general, and the first that matches stands for its family.
@@ -90,18 +92,22 @@ RULES: tuple[tuple[str, int, str, str, tuple[int, ...]], ...] = (
 MARKS = "licen[cs]e|permission|warrant|copyright|redistribut|public domain|rights reserved|gnu general"
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text, in order."""
-    lines = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n")
+#: A known sentence from the start of a piece to the end of one, the longest first; its words may be on several lines.
+KNOWN = r"(?<![^\n])(?:" + "|".join(x.replace(" ", r"[ \n]") for x in sorted((x for _, x in SENTENCES), key=len, reverse=True)) + r")(?![^\n])"
+
+
+def pieces(text: Column) -> Column:
+    """The normalised pieces of a text, a line each, with an empty line where a sentence ends."""
+    lines = F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n\n")
     plain = F.regexp_replace(F.translate(lines, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
-    return F.transform(F.split(plain, "\n"), lambda s: F.trim(s))
+    return F.trim(F.regexp_replace(plain, " ?\n ?", "\n"))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order, as '|101|102|'; '|' if there are none."""
     known = F.array(*(F.lit(s) for _, s in SENTENCES))
     ids = F.array(*(F.lit(str(i)) for i, _ in SENTENCES))
-    found = F.filter(F.transform(sentences(text), lambda s: F.array_position(known, s).cast("int")), lambda p: p > 0)
+    found = F.transform(F.regexp_extract_all(pieces(text), F.lit(KNOWN), F.lit(0)), lambda s: F.array_position(known, F.translate(s, "\n", " ")).cast("int"))
     return F.when(F.size(found) > 0, F.concat(F.lit("|"), F.array_join(F.transform(found, lambda p: F.element_at(ids, p)), "|"), F.lit("|"))).otherwise(F.lit("|"))
 
 
@@ -127,7 +133,7 @@ def recognise(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same in DuckDB SQL over `documents`, written from the catalogue."""
+    """The same in DuckDB SQL over `documents`, written from the catalogue, for sentences on one line each."""
     values = ", ".join(f"({i}, '{s}')" for i, s in SENTENCES)
     rules = ", ".join(f"('{f}', {r}, '{n}', '{k}', '{chr(92)}|' || '{(chr(92) + '|(?:[0-9]+' + chr(92) + '|)*').join(map(str, ids))}' || '{chr(92)}|')" for f, r, n, k, ids in RULES)
     return f"""

@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 
 from braidwork.llm import licenses as m
@@ -43,3 +45,23 @@ def test_odd_rows(odd, empty):
 def test_plan_has_no_python_and_no_shuffle(documents):
     plan = m.recognise(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def wrapped(text, width, prefix=""):
+    return "\n\n".join("\n".join(prefix + line for line in textwrap.wrap(part, width)) for part in text.split("\n\n"))
+
+
+def test_wrapped_texts(spark):
+    by = dict(m.SENTENCES)
+    bsd = by[401] + ":\n\n" + "\n\n".join(f"{k}. {by[i]}." for k, i in enumerate((402, 403, 404), 1))
+    gpl = f"{by[303]}.\n\n{by[305]}. {by[306]}."
+    apache = "Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in\n# compliance with the License.\n# You may obtain a copy of the\n# License at\n#\n#  http://x\n#\n# See the License for the specific language governing permissions and\n# limitations under the License."
+    cases = [(MIT, "mit", "MIT", "text", 2), (bsd, "bsd", "BSD-3-Clause", "text", 4), (by[701] + ".", "isc", "ISC", "text", 1), (gpl, "gpl", "GPL-3.0-or-later", "header", 3)]
+    texts, want = ["# " + apache, "Licensed under the Apache License.\n\nVersion 2.0"], [(0, "apache", "Apache-2.0", "header", 4)]
+    for text, *row in cases:
+        for width, prefix in ((72, ""), (40, " * "), (79, "// "), (60, "# ")):
+            want.append((len(texts), *row))
+            texts.append(wrapped(text, width, prefix) + "\n\nint main() {}")
+    texts.append(wrapped(MIT, 72).replace("\n", "\r\n"))
+    want.append((len(texts) - 1, "mit", "MIT", "text", 2))
+    assert rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == want

@@ -9,8 +9,11 @@ into a probability.
 
 Fitting uses a bounded sample, SAMPLE labelled texts of either kind for the
 dictionaries and as many for the curve, the ones with the least hash of their
-id, each cut to SAMPLE_BYTES; everything gathered or broadcast is bounded by
-that.  Scoring reads every text whole, in one narrow pass.
+id.  The dictionaries, of a fixed size, learn from SAMPLE_BYTES of a longer
+text, in blocks spread from its start to its end.  The curve's features are
+computed from whole texts in the executors, so that it is fitted on what it is
+applied to; only they reach the driver.  Scoring reads every text whole, in one
+narrow pass.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.scratch import small_batches
+from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import slices
 
-SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 1500, 8192, 64 << 10, 3
+SAMPLE, SAMPLE_BYTES, BLOCKS, DICTIONARY_BYTES, LEVEL = 1500, 8192, 8, 64 << 10, 3
 THRESHOLD = 0.3
 
 
@@ -80,6 +83,23 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50)
     return w
 
 
+def spread(text: F.Column) -> F.Column:
+    """The bytes of a text, of more than SAMPLE_BYTES as many in BLOCKS blocks from its start to its end."""
+    size = SAMPLE_BYTES // BLOCKS
+    at = [(F.floor((F.length(text) - size) * k / (BLOCKS - 1)) + 1).cast("int") for k in range(BLOCKS)]
+    return F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(F.concat(*(F.substring(text, a, F.lit(size)) for a in at)))
+
+
+def _features(shared):
+    """(label, h, features) from (label, h, text)."""
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Compressors(*shared.value)
+        for b in slices(batches):
+            x = [c.features(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["label", "h", "x"])
+    return op
+
+
 def fit(docs: DataFrame, known: DataFrame) -> Model:
     """Learn from docs (doc_id, text) with known labels (doc_id, label): a bounded sample of either label.
 
@@ -94,21 +114,27 @@ def fit(docs: DataFrame, known: DataFrame) -> Model:
         # a cut by hash leaves a few samples' worth of rows, whatever the input, of which the least are taken
         some = known.where(F.col("label") == k).where(F.shiftrightunsigned(h, 1) <= min(2**63 - 1, 2**63 * 4 * SAMPLE // n)).orderBy(h, "doc_id").limit(2 * SAMPLE)
         picked = some if picked is None else picked.unionByName(some)
-    rows = []
-    if picked is not None:
-        texts = docs.where("text is not null").join(F.broadcast(picked), "doc_id")
-        rows = texts.select("label", F.xxhash64("text").alias("h"), F.substring(F.encode("text", "UTF-8"), 1, SAMPLE_BYTES).alias("text")).toArrow().to_pylist()
-        rows.sort(key=lambda r: (r["h"], r["label"], r["text"]))
-    kinds = [[r["text"] for r in rows if r["label"] == k and r["text"]] for k in (0, 1)]
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     prior = np.log(share / (1 - share))
-    if min(map(len, kinds)) < 2:
-        return Model(b"", b"", np.zeros(4), np.ones(4), np.concatenate(([prior], np.zeros(14))))
-    halves = [(k[::2], k[1::2]) for k in kinds]
-    bad, good = (train_dictionary(h[0]) for h in halves)
-    c = Compressors(good, bad)
-    x = np.array([c.features(t) for h in halves for t in h[1]])
-    y = np.repeat([0.0, 1.0], [len(h[1]) for h in halves])
+    flat = Model(b"", b"", np.zeros(4), np.ones(4), np.concatenate(([prior], np.zeros(14))))
+    if picked is None:
+        return flat
+    # every other one is for the curve
+    picked = cut(picked.withColumn("curve", F.row_number().over(Window.partitionBy("label").orderBy(h, "doc_id")) % 2 == 0))
+    texts = small_batches(docs).where("text <> ''").join(F.broadcast(picked), "doc_id").select("label", "curve", F.xxhash64("text").alias("h"), "text")
+    rows = texts.where("not curve").select("label", "h", spread(F.encode("text", "UTF-8")).alias("text")).toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["h"], r["label"], r["text"]))
+    kinds = [[r["text"] for r in rows if r["label"] == k] for k in (0, 1)]
+    if not all(kinds):
+        return flat
+    bad, good = map(train_dictionary, kinds)
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+    seen = texts.where("curve").select("label", "h", "text").mapInArrow(_features(shared), "label int, h long, x array<double>").toArrow().to_pylist()
+    seen.sort(key=lambda r: (r["label"], r["h"], r["x"]))
+    y = np.array([float(r["label"]) for r in seen])
+    if not 0 < y.sum() < len(y):
+        return flat
+    x = np.array([r["x"] for r in seen])
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = logistic(design((x - mean) / scale), y)
     w[0] += prior - np.log(y.sum() / (len(y) - y.sum()))

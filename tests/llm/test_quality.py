@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from pyspark.sql import functions as F
@@ -36,3 +37,15 @@ def test_odd_rows(odd, empty, spark):
     none = labels.limit(0)
     assert {r.score for r in m.classify(odd, none).collect()} == {0.5}
     assert m.classify(empty, labels).count() == 0
+
+
+def test_evidence_after_the_first_8_kb_counts(spark):
+    rng = random.Random(8)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(300)] for _ in range(3)]
+    text = lambda label: " ".join(rng.choices(words[2], k=1200) + rng.choices(words[label], k=1500))
+    rows = [(i, text(i % 2), i % 2) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    held = [(r.score, r.doc_id % 2) for r in m.classify(docs, labels).collect() if r.held_out]
+    assert len(held) > 30 and auc(held) > 0.95
+    assert abs(sum(s for s, _ in held) / len(held) - sum(y for _, y in held) / len(held)) < 0.1

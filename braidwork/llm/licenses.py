@@ -89,7 +89,7 @@ RULES: tuple[tuple[str, int, str, str, tuple[int, ...]], ...] = (
     ("reserved", 1, "All-Rights-Reserved", "notice", (901,)),
 )
 #: Words that every sentence of the catalogue has one of; texts without any are not split.
-MARKS = "licen[cs]e|permission|warrant|copyright|redistribut|public domain|rights reserved|gnu general"
+MARKS = "licen[cs]e|permission|warrant|copyright|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|gnu[^a-z0-9]+general"
 
 
 #: A known sentence from the start of a piece to the end of one, the longest first; its words may be on several lines.

@@ -65,3 +65,9 @@ def test_wrapped_texts(spark):
     texts.append(wrapped(MIT, 72).replace("\n", "\r\n"))
     want.append((len(texts) - 1, "mit", "MIT", "text", 2))
     assert rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")) == want
+
+
+def test_marks_with_other_separators(spark):
+    texts = ["All Rights\tReserved.", "This is free and unencumbered software released into the public-domain.", "all rights\n * reserved"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows(df) == [(0, "reserved", "All-Rights-Reserved", "notice", 1), (1, "unlicense", "Unlicense", "notice", 1), (2, "reserved", "All-Rights-Reserved", "notice", 1)]

@@ -80,11 +80,66 @@ def test_odd_rows(odd, empty, spark):
     assert m.clean_documents(odd, items).count() == odd.count() - 3
 
 
-def test_embedding_of_equal_windows():
-    words = np.arange(50, dtype=np.uint64) * np.uint64(7919)
-    places = np.array([0.1, 0.5, 0.9])
-    out = m.embed(np.concatenate([words, words]), np.array([0, 50]), np.array([50, 50]), 3, places)
-    assert (out[0] == out[1]).all()
+def test_walks_are_those_of_one_position_at_a_time():
+    """The walks computed together against each walked alone."""
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 40, 300).astype(np.uint64)
+    for size, table in ((6, 0), (24, 3), (48, 1)):
+        places, last = dict(m.sampled(size, table)), max(dict(m.sampled(size, table)))
+        moves = m.mix(words + np.uint64((table + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).tolist()
+        symbol = m.mix(words ^ np.uint64(0x5DEECE66D)).tolist()
+        got = m.embed(words, size, table)
+        for start in range(0, 300, 7):
+            at, h = start, 0
+            for j in range(last + 1):
+                if at < 300 and j in places:
+                    h += (symbol[at] & 0xFFFFFFFF) * places[j]
+                if at < 300:
+                    at += moves[at] >> (32 * (j // 32 % 2) + j % 32) & 1
+            assert got[start] == h & 0xFFFFFFFF
+
+
+def test_blocks_do_not_change_walks(monkeypatch):
+    words = np.random.default_rng(1).integers(0, 99, 1000).astype(np.uint64)
+    want = m.embed(words, 24, 2)
+    monkeypatch.setattr(m, "SPAN", 64)
+    assert (m.embed(words, 24, 2) == want).all()
+
+
+@pytest.mark.parametrize("words", [6, 9, 15, 23, 24, 40, 64])
+def test_recall_at_the_threshold(spark, words):
+    """Items with as many edits as are allowed are found; 0.9 at least is asked for."""
+    rng = random.Random(words)
+    vocabulary = [f"w{i}" for i in range(800)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(words)]) for k in range(60)]
+    rows = [(k, " ".join([*(rng.choice(vocabulary) for _ in range(30)), *edited(own, int(words * 0.2), rng), *(rng.choice(vocabulary) for _ in range(30))])) for k, own in items]
+    want = {k for (k, own), (_, text) in zip(items, rows, strict=True) if plain_distance([x.encode() for x in own], tokens(text)) <= int(words * 0.2)}
+    got = m.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(own)) for k, own in items], "item_id long, text string"))
+    assert len({r.doc_id for r in got.collect() if r.doc_id == r.item_id} & want) >= 0.95 * len(want)
+
+
+def test_edit_distances_against_the_plain_recurrence():
+    rng = np.random.default_rng(3)
+    item, text = rng.integers(0, 4, (7, 200)), rng.integers(0, 4, (12, 200))
+    outside = np.zeros(text.shape, bool)
+    outside[9:, ::2] = True
+    got = m.fit_distances(item, text, outside)
+    assert got.tolist() == [plain_distance(item[:, k].tolist(), text[:9 if k % 2 == 0 else 12, k].tolist()) for k in range(200)]
+
+
+def test_items_of_one_template(spark):
+    """Many items that share most of their words, and items with the same words."""
+    items = [(i, "which of the following statements about the element is correct answer " + f"n{i // 2}") for i in range(400)]
+    docs = [(1, items[7][1] + " and more"), (2, "nothing of that")]
+    got = {(r.doc_id, r.item_id): r.edits for r in m.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, i): (0 if i in (6, 7) else 1) for i in range(400)}
+
+
+def test_clashing_columns(spark, documents):
+    bench = spark.createDataFrame([(1, "the cat sat on the mat the")], "item_id long, text string").selectExpr("*", "1 as edits", "2 as doc_id")
+    docs = spark.createDataFrame([(1, "THE cat, sat on the mat. The end")], "doc_id long, text string").selectExpr("*", "1 as item_id", "3 as edits", "4 as item_words")
+    assert [tuple(r) for r in m.contaminated(docs, bench).collect()] == [(1, 1, 0, 7)]
+    assert m.clean_documents(docs, bench).count() == 0
 
 
 def test_ratio_is_checked(documents):

@@ -14,14 +14,18 @@ share one.  A run of windows with one anchor is one short row.
 1. Partition by prefix.  Runs are counted by their anchor gram; prefixes that
    occur once hold no repeat and are dropped, which leaves the repeats of the
    corpus.  The counting is pre-aggregated, so a hot prefix is one row a task.
-2. Variable length.  Prefixes with up to `group_limit` runs are memory-sized:
-   the suffixes of such a group form one subtree, built from their sorted
-   word strings; its internal nodes at depth `width` are the repeated windows.
-   Prefixes above the limit are extended: first to the whole run, whose equal
-   copies need only the first place, then - between distinct runs - to the
-   full width, where a suffix group is one tree node and again only its first
-   start matters.  Both are pre-aggregated minima.  Nothing is dropped.
-3. The repeated windows come back as word intervals of each document.  A
+2. Subtrees.  Prefixes with up to `group_limit` runs are memory-sized: the
+   suffixes of a group form one suffix tree, built from the top by comparing
+   words (see maximal_repeats).  Its nodes at depth `width` and below are the
+   repeats; of a repeat every occurrence but the earliest goes, as far as it
+   reaches, and repeats inside longer ones need no row of their own.
+3. Variable length.  Crowded prefixes are extended.  Equal runs of one need
+   only the first place (a pre-aggregated minimum); the suffixes of the
+   distinct ones are partitioned by a prefix
+   half way to `width` words, into subtrees of their own, and where that is crowded too by `width` words,
+   where a group is one node and again only its first place matters.  Nothing
+   is dropped.
+4. The repeats come back as word intervals of each document.  A
    document with the whole text of an earlier one skips step 2, and only the
    texts that hold some repeat are shuffled again to meet their intervals.
 """
@@ -37,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.scratch import cut, small_batches
-from braidwork.llm.words import Words, grams, slices
+from braidwork.llm.words import Words, grams, slices, trim
 
 WIDTH, PREFIX, GROUP_LIMIT = 20, 8, 2000
 
@@ -127,7 +131,7 @@ def _segments(width: int, keep_text: bool):
                     put(at, WAITING, doc, len(words), None, None, text, None, None, None, None, None)
                     runs = runs.values
                     for key, start, n, big in zip(*(runs.field(i).to_pylist() for i in range(4)), strict=True):
-                        put(at, SEGMENT, doc, None, None, None, None, key, start, n, b" ".join(words[start:start + n + width - 1]), big)
+                        put(at, SEGMENT, doc, None, None, None, None, key, start, n, b" ".join(words[start:start + n + width - 1]) + b" ", big)
                 if len(source) > 20_000:
                     yield flush()
             if source:
@@ -135,89 +139,119 @@ def _segments(width: int, keep_text: bool):
     return op
 
 
-def _windows(width: int):
-    """The suffixes of distinct segments by their whole-width prefix, as a digest."""
-    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            node, docs, starts = [], [], []
-            for seg, doc, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words = seg.split(b" ")
-                for j in range(len(words) - width + 1):
-                    node.append(hashlib.md5(b" ".join(words[j:j + width])).digest())
-                    docs.append(doc)
-                    starts.append(start + j)
-            yield pa.record_batch([pa.array(node, pa.binary()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32())], names=["node", "doc_id", "start"])
-    return op
+def _ids(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """A number for each distinct pair; both are from 0 to 2^31."""
+    return pa.array(high.astype(np.int64) << 32 | low).dictionary_encode().indices.to_numpy()
 
 
-def subtree_repeats(suffixes: list[tuple[bytes, tuple]], width: int) -> dict[bytes, tuple]:
-    """First starts of the internal nodes at depth `width` of the subtree of these suffixes.
+def maximal_repeats(segments: pa.Array, doc: np.ndarray, start: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset, depth) of the repeats of at least `width` words in the suffix tree of these segments.
 
-    suffixes: (words joined by spaces, (doc_id, start)).  Sorting puts the
-    leaves of the subtree in order; neighbours that share `width` words meet
-    in an internal node that deep, and the node's first leaf is its least place.
+    segments: words, each followed by a space (binary); row i brings the
+    suffixes at its first n[i] words, which stand at start[i] + offset of
+    document doc[i].  The tree is built from the top, level by level, and
+    words are compared themselves, not hashes of them.  The nodes at depth
+    `width` come from doubling: prefixes of 2k words are numbered by the two
+    numbers of their halves.  From there every node of more than one leaf is
+    split by the next word.  A leaf's depth is that of the deepest node in
+    which it is not the least place; offsets whose repeat lies inside that of
+    the offset before are not left-maximal and left out.
     """
-    first: dict[bytes, tuple] = {}
-    last, least, many = None, None, False
-    for words, place in sorted((b" ".join(w.split(b" ", width)[:width]), p) for w, p in suffixes):
-        if words != last:
-            if many:
-                first[last] = least
-            last, least, many = words, place, False
-        else:
-            many = True
-    if many:
-        first[last] = least
-    return first
-
-
-def _later(group: dict[bytes, list[tuple]], width: int) -> Iterator[tuple[int, int, int]]:
-    """(doc_id, from, to) word intervals of one prefix group that start earlier elsewhere.
-
-    group: words under a run -> its places (doc_id, start, n).  Equal runs need
-    one pass of the subtree between them.
-    """
-    suffixes, spread = [], {}
-    for seg, places in group.items():
-        least = min(p[:2] for p in places)
-        words = seg.split(b" ")
-        n = len(words) - width + 1
-        for doc, start, _ in places:
-            if (doc, start) != least:
-                yield doc, start, start + n + width - 1
-        if len(group) > 1:
-            spread[seg] = (least, n, words)
-            suffixes += [(b" ".join(words[j:j + width]), (least[0], least[1] + j)) for j in range(n)]
-    if len(group) > 1:
-        first = subtree_repeats(suffixes, width)
-        if first:
-            for (doc, start), n, words in spread.values():
-                for j in range(n):
-                    if first.get(b" ".join(words[j:j + width]), (doc, start + j)) != (doc, start + j):
-                        yield doc, start + j, start + j + width
-
-
-def _subtrees(width: int):
+    w = Words(segments)
+    size = np.diff(w.first)
+    offsets = np.append(w.start, w.end[-1] + 1 if len(w) else 0).astype(np.int32)
+    code = pa.Array.from_buffers(pa.binary(), len(w), [None, pa.py_buffer(offsets), pa.py_buffer(w.data)]).dictionary_encode().indices.to_numpy()
+    code = np.append(code.astype(np.int64) + 1, np.zeros(width + 1, np.int64))
+    end = np.append(np.repeat(w.first[1:], size), np.zeros(width + 1, np.int64))  # of the segment that a word is in
+    place = np.arange(len(code))
+
+    def longer(a: np.ndarray, b: np.ndarray, at: int) -> np.ndarray:
+        """Numbers of prefixes of at + k words from those of `at` and of k words; one that leaves its segment equals no other that matters."""
+        out = np.zeros(len(code), np.int64)
+        out[:len(code) - at] = _ids(a[:len(code) - at], b[at:]) + 1
+        return out
+
+    powers, k = [code], 1
+    while 2 * k <= width:
+        powers.append(longer(powers[-1], powers[-1], k))
+        k *= 2
+    node, depth = powers[-1], k
+    for e in range(len(powers) - 2, -1, -1):
+        if width - depth >= 1 << e:
+            node, depth = longer(node, powers[e], depth), depth + (1 << e)
+    row = np.repeat(np.arange(len(n)), n)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    at = w.first[row] + offset
+    order = np.lexsort((start[row] + offset, doc[row]))  # from here on leaves are in order of their place
+    row, offset, at = row[order], offset[order], at[order]
+    found, leaf, node = np.zeros(len(row), np.int64), np.arange(len(row)), node[at]
+    while len(leaf):
+        _, first, of, many = np.unique(node, return_index=True, return_inverse=True, return_counts=True)
+        later = np.ones(len(leaf), bool)
+        later[first] = False
+        found[leaf[later]] = depth
+        deeper = (many[of] > 1) & (at[leaf] + depth < end[at[leaf]])
+        leaf, of = leaf[deeper], of[deeper]
+        if len(leaf):
+            node = _ids(of, code[at[leaf] + depth])
+        depth += 1
+    order = np.lexsort((offset, row))
+    row, offset, found = row[order], offset[order], found[order]
+    inside = np.zeros(len(row), bool)
+    inside[1:] = (row[1:] == row[:-1]) & (offset[1:] == offset[:-1] + 1) & (found[1:] < found[:-1])
+    keep = (found > 0) & ~inside
+    return row[keep], offset[keep], found[keep]
+
+
+def _subtrees(width: int, held: int = 1 << 20):
+    """(doc_id, lo, hi) from (key, doc_id, start, n, seg) in order of key: the subtrees of whole groups, about `held` bytes of words at a time."""
+    def run(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        doc, start, n = (t.column(i).to_numpy().astype(np.int64) for i in (1, 2, 3))
+        row, offset, depth = maximal_repeats(t.column(4).chunk(0), doc, start, n, width)
+        lo = start[row] + offset
+        return pa.record_batch([pa.array(doc[row]), pa.array(lo.astype(np.int32)), pa.array((lo + depth).astype(np.int32))], names=["doc_id", "lo", "hi"])
+
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, group = None, {}
-        out: list[tuple[int, int, int]] = []
+        rows, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows.append(b)
+            size += b.nbytes
+            key = b.column(0).to_numpy()
+            tail = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0  # the last group may go on
+            if size > held and (tail or (len(rows) > 1 and rows[-2].column(0)[-1].as_py() != key[0])):
+                rows[-1:] = [b.slice(0, tail)] if tail else []
+                yield run(rows)
+                rows, size = [b.slice(tail)], b.nbytes
+        if rows:
+            yield run(rows)
+        trim()
+    return op
 
-        def flush() -> pa.RecordBatch:
-            made = pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32()))], names=["doc_id", "lo", "hi"])
-            out.clear()
-            return made
 
-        for b in batches:
-            for key, doc, start, n, seg in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                if key != now:
-                    out.extend(_later(group, width))
-                    now, group = key, {}
-                group.setdefault(seg, []).append((doc, start, n))
-            if len(out) > 20_000:
-                yield flush()
-        out.extend(_later(group, width))
-        if out:
-            yield flush()
+def _suffixes(prefix: int, width: int):
+    """(key, doc_id, start, n, seg, node) of the suffixes of segments (seg, doc_id, start): key is the hash of their first `prefix` words, node their first `width` words."""
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "seg", 1 << 18):  # each word is in up to `width` suffixes
+            w = Words(b.column(0))
+            size = np.diff(w.first)
+            many = np.maximum(size - width + 1, 0)
+            row = np.repeat(np.arange(b.num_rows), many)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            at = w.first[row] + offset
+            if not len(at):
+                continue
+            key = grams(w.hashes(), prefix)[at]
+            lo, stop, cut_at = w.start[at], w.end[w.first[row + 1] - 1] + 1, w.end[at + width - 1]
+            flat = w.data.tobytes()
+            pick = pa.array(row)
+            for k in range(0, len(at), 20_000):
+                part = slice(k, k + 20_000)
+                yield pa.record_batch([pa.array(key[part].view(np.int64)), b.column(1).take(pick[part]), pa.array((b.column(2).to_numpy()[row[part]] + offset[part]).astype(np.int32)), pa.array(np.ones(len(at[part]), np.int16)),
+                                       pa.array([flat[x:y] for x, y in zip(lo[part].tolist(), stop[part].tolist(), strict=True)], pa.binary()),
+                                       pa.array([flat[x:y] for x, y in zip(lo[part].tolist(), cut_at[part].tolist(), strict=True)], pa.binary())], names=["key", "doc_id", "start", "n", "seg", "node"])
     return op
 
 
@@ -241,19 +275,31 @@ def _table(docs: DataFrame, extra: list[str], keep_text: bool, width: int, prefi
     return cut(known.unionByName(others).mapInArrow(_segments(width, keep_text), kind))
 
 
-def _spans(table: DataFrame, width: int) -> DataFrame:
+def _spans(table: DataFrame, width: int, prefix: int, group_limit: int) -> DataFrame:
     """(doc_id, lo, hi) from the segments of the table."""
+    row, found = "doc_id long, lo int, hi int", []
+
+    def grow(groups: DataFrame) -> None:
+        found.append(groups.select("key", "doc_id", "start", "n", "seg").repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(width), row))
+
     segments = table.where(F.col("kind") == SEGMENT)
-    trees = (segments.where("not big").select("key", "doc_id", "start", "n", "seg")
-             .repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees(width), "doc_id long, lo int, hi int"))
+    grow(segments.where("not big"))
     place = F.struct("doc_id", "start")
     large = segments.where("big").select("doc_id", "start", "n", "seg")
-    leaves = cut(large.groupBy("seg").agg(F.min(place).alias("least")))  # written for the same reason
-    again = large.join(leaves, "seg").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).cast("int").alias("hi"))
-    nodes = leaves.select("seg", "least.doc_id", "least.start").mapInArrow(_windows(width), "node binary, doc_id long, start int")
-    first = nodes.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").select("node", "least")
-    later = nodes.join(first, "node").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).alias("hi"))
-    return trees.unionByName(again).unionByName(later)
+    leaves = cut(large.groupBy("seg").agg(F.min(place).alias("least")))  # written, as the counts are
+    found.append(large.join(leaves, "seg").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("n") + (width - 1)).cast("int").alias("hi")))
+    # what differs between the segments of a crowded prefix: their suffixes, by a longer prefix and, where that is crowded too, by all of a node's words
+    longer = (min(prefix, width) + width) // 2
+    suffixes = leaves.select("seg", "least.doc_id", "least.start").mapInArrow(_suffixes(longer, width), "key long, doc_id long, start int, n short, seg binary, node binary")
+    sizes = cut(suffixes.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"))
+    grow(suffixes.join(sizes.where(F.col("members") <= group_limit), "key"))
+    nodes = suffixes.join(sizes.where(F.col("members") > group_limit), "key").select("node", "doc_id", "start")
+    first = cut(nodes.groupBy("node").agg(F.min(place).alias("least"), F.count("*").alias("c")).where("c > 1").select("node", "least"))
+    found.append(nodes.join(first, "node").where(place != F.col("least")).select("doc_id", F.col("start").alias("lo"), (F.col("start") + width).cast("int").alias("hi")))
+    made = found[0]
+    for f in found[1:]:
+        made = made.unionByName(f)
+    return made
 
 
 def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
@@ -265,7 +311,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, prefix: int = PREFIX, group_lim
     """
     table = _table(docs, [], False, width, prefix, group_limit)
     whole = table.where((F.col("kind") == FINISHED) & (F.col("n_removed") > 0)).select("doc_id", F.lit(0).alias("lo"), F.col("n_words").cast("int").alias("hi"))
-    return whole.unionByName(_spans(table, width))
+    return whole.unionByName(_spans(table, width, prefix, group_limit))
 
 
 def _apply(keep_text: bool):
@@ -292,7 +338,7 @@ def _apply(keep_text: bool):
 def _applied(docs: DataFrame, extra: list[str], keep_text: bool, width: int = WIDTH, prefix: int = PREFIX, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """doc_id, n_words, n_removed, kept and extra for every row of docs; only texts with repeats meet their spans."""
     table = _table(docs, extra, keep_text, width, prefix, group_limit)
-    spans = _spans(table, width).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    spans = _spans(table, width, prefix, group_limit).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     columns = ["doc_id", "n_words", "n_removed", "kept", *extra]
     kind = "doc_id long, n_words long, n_removed long, kept string" + "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in extra)
     waiting = table.where(F.col("kind") == WAITING).join(spans, "doc_id", "left").select("doc_id", "text", "spans", *extra).mapInArrow(_apply(keep_text), kind)

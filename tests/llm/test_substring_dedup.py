@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from braidwork.llm import substring_dedup as m
@@ -60,8 +62,43 @@ def test_rewrite_keeps_columns(documents):
     assert out.count() == documents.count()
 
 
-def test_subtree_repeats():
-    words = b"a b c d".split()
-    suffixes = [(b" ".join(words), (1, 0)), (b" ".join(words), (0, 5)), (b"a b c e", (0, 0))]
-    assert m.subtree_repeats(suffixes, 4) == {b"a b c d": (0, 5)}
-    assert m.subtree_repeats(suffixes, 3) == {b"a b c": (0, 0)}
+def plain_repeats(segments, places, n, width):
+    """For each suffix the longest prefix of at least `width` words that a suffix at a smaller place has as well."""
+    suffixes = sorted((doc, start + j, seg.split()[j:], i, j) for i, (seg, (doc, start)) in enumerate(zip(segments, places, strict=True)) for j in range(n[i]))
+    out = {}
+    for k, (_, _, words, i, j) in enumerate(suffixes):
+        best = 0
+        for _, _, other, _, _ in suffixes[:k]:
+            same = next((x for x, (a, b) in enumerate(zip(words, other, strict=False)) if a != b), min(len(words), len(other)))
+            best = max(best, same)
+        if best >= width:
+            out[i, j] = best
+    return {k: v for k, v in out.items() if out.get((k[0], k[1] - 1), 0) <= v}
+
+
+@pytest.mark.parametrize("width", [2, 3, 5, 8])
+def test_maximal_repeats_against_all_pairs(width):
+    rng = random.Random(width)
+    for _ in range(30):
+        segments = [b"".join(rng.choice([b"a ", b"b ", b"cc "]) for _ in range(rng.randrange(width, width + 6))) for _ in range(rng.randrange(1, 12))]
+        places = [(k // 3, 100 * k) for k in rng.sample(range(20), len(segments))]
+        n = [rng.randrange(1, len(s.split()) - width + 2) for s in segments]
+        row, offset, depth = m.maximal_repeats(pa.array(segments, pa.binary()), *(np.array(x, np.int64) for x in zip(*places, strict=True)), np.array(n), width)
+        assert {(a, b): c for a, b, c in zip(row.tolist(), offset.tolist(), depth.tolist(), strict=True)} == plain_repeats(segments, places, n, width)
+
+
+def test_groups_that_span_batches():
+    """Whole groups meet whatever the batches and however little is held at a time."""
+    rng = random.Random(5)
+    rows = sorted((k, rng.randrange(50), 100 * i, 1, b"a b c d " + rng.choice([b"e ", b"f "])) for i, k in enumerate(rng.choices(range(12), k=200)))
+    batch = pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()))], names=["key", "doc_id", "start", "n", "seg"])
+    # groups differ in words too, as they do in use
+    batch = batch.set_column(4, "seg", pa.array([b"k%d " % r[0] + r[4] for r in rows], pa.binary()))
+
+    def found(size, held):
+        parts = [batch.slice(i, size) for i in range(0, len(rows), size)]
+        return sorted(tuple(x.values()) for b in m._subtrees(4, held)(iter(parts)) for x in b.to_pylist())
+
+    want = found(len(rows), 1 << 20)
+    assert len(want) > 100
+    assert all(found(size, held) == want for size in (1, 7, 60) for held in (1, 300, 1 << 20))

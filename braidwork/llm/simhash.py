@@ -17,9 +17,9 @@ How it scales.  Equal fingerprints (exact copies, or empty texts) become one
 row before the join, by a pre-aggregated minimum.  A cell yields a spanning
 forest of its links, never all pairs: the search from a member only looks at
 members not yet reached, so a dense cell costs little more than its size.  A
-crowded cell is compared by pairs of blocks, in tasks of their own; together
-their forests connect what the cell connects.  Components are found by
-distributed star steps.
+crowded cell is compared by pairs of blocks of a fixed size, in tasks of their
+own; together their forests connect what the cell connects.  Components are
+found by distributed star steps.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.components import components
 from braidwork.llm.scratch import cut, small_batches
-from braidwork.llm.words import mix, slices
+from braidwork.llm.words import slices, trim
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints of one cell that are compared together; larger cells are split into pairs of blocks.
@@ -132,55 +132,42 @@ def _spread(distance: int):
     return op
 
 
-def crowded(distinct: DataFrame, distance: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cells, blocks): the cells with over `limit` visits from heavy home cells, sorted, and in how many blocks to compare them.
+def crowded(codes: DataFrame, distance: int, limit: int) -> DataFrame:
+    """(cell, blocks): the cells with over `limit` visits from heavy home cells, and in how many blocks to compare them.
 
-    A home is heavy with limit / moves fingerprints, so a cell that is not
-    listed has at most 2 x limit visits.  Visits are moves x 2 for each
-    fingerprint, so at most that many / limit cells are listed.
+    A home is heavy with limit / moves fingerprints (fp), so a cell that is not
+    listed has at most 2 x limit visits, and a block at most about limit / 2.
     """
     moves = len(_steps(reach(distance)))
-    heavy = distinct.select("fp").mapInArrow(_count_homes, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") >= max(1, limit // moves))
-    big = heavy.mapInArrow(_spread(distance), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") > limit).toArrow()
-    cell, c = big["cell"].to_numpy().view(U), big["c"].to_numpy()
-    order = np.argsort(cell)
-    return cell[order], 2 * -(-c[order] // limit)
+    heavy = codes.select("fp").mapInArrow(_count_homes, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") >= max(1, limit // moves))
+    big = heavy.mapInArrow(_spread(distance), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") > limit)
+    return big.select("cell", (2 * F.ceil(F.col("c") / limit)).cast("int").alias("blocks"))
 
 
-def _visit(distance: int, shared):
-    """(cell, fp) for every visit; in a crowded cell once for each pair of blocks that the fingerprint is in, the pair above bit 33."""
+def _visit(distance: int):
+    """(cell, what follows) for every cell that a row (fp, ...) visits."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        big, blocks = shared.value
         for b in batches:
-            every = b.column(0).to_numpy(zero_copy_only=False).view(U)
-            for at in range(0, len(every), 4096):
-                part = every[at:at + 4096]
-                index, cell = cells(part, distance)
-                fp = part[index]
-                if len(big):
-                    place = np.minimum(np.searchsorted(big, cell), len(big) - 1)
-                    hit = np.flatnonzero(big[place] == cell)
-                    if len(hit):
-                        n = blocks[place[hit]]
-                        own = (mix(fp[hit]) % n.astype(U)).astype(np.int64)
-                        other = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                        own, many, rows = np.repeat(own, n), np.repeat(n, n), np.repeat(hit, n)
-                        pair = np.minimum(own, other) * many + np.maximum(own, other) + 1
-                        keep = np.ones(len(cell), bool)
-                        keep[hit] = False
-                        cell, fp = np.concatenate([cell[keep], cell[rows] | pair.astype(U) << U(33)]), np.concatenate([fp[keep], fp[rows]])
-                yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(fp.view(np.int64))], names=["cell", "fp"])
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                index, cell = cells(part.column(0).to_numpy(zero_copy_only=False).view(U), distance)
+                pick = pa.array(index)
+                yield pa.record_batch([pa.array(cell.view(np.int64)), *(c.take(pick) for c in part.columns[1:])], names=["cell", *part.schema.names[1:]])
     return op
 
 
-def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct fingerprints (positions)."""
-    left, links = np.arange(len(fp)), []
+def hamming(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    return sum(np.bitwise_count(a ^ b).astype(np.int64) for a, b in zip(x, y, strict=True))
+
+
+def forest(code: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among codes (positions); a code is one or more words."""
+    left, links = np.arange(len(code[0])), []
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= distance
+            near = hamming([c[left] for c in code], [c[at] for c in code]) <= distance
             found = left[near].tolist()
             if found:
                 left = left[~near]
@@ -190,68 +177,75 @@ def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def _verify(distance: int, dense: int = 48):
-    """Rows come in order of their cell.  Small cells are compared together, offset by offset."""
-    def run(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) from rows (part, node, words of its code) in order of part; without words the node is its code.  Small parts are compared together, offset by offset."""
+    def run(part: np.ndarray, node: np.ndarray, code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
-        bounds = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
+        bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         size = np.diff(bounds)
         for k in np.flatnonzero(size > dense):
-            part = np.unique(fp[bounds[k]:bounds[k + 1]])
-            links = forest(part, distance)
+            own = bounds[k] + np.unique(node[bounds[k]:bounds[k + 1]], return_index=True)[1]
+            links = forest([c[own] for c in code], distance)
             if links:
                 x = np.array(links)
-                a.append(part[x[:, 0]])
-                b.append(part[x[:, 1]])
+                a.append(node[own[x[:, 0]]])
+                b.append(node[own[x[:, 1]]])
         keep = np.repeat((size <= dense) & (size > 1), size)
-        cell, fp = cell[keep], fp[keep]
-        for step in range(1, min(dense, max(1, len(fp)))):
-            same = cell[step:] == cell[:-step]
+        part, node, code = part[keep], node[keep], [c[keep] for c in code]
+        for step in range(1, min(dense, max(1, len(node)))):
+            same = part[step:] == part[:-step]
             if not same.any():
                 break
-            x, y = fp[:-step][same], fp[step:][same]
-            near = (np.bitwise_count(x ^ y) <= distance) & (x != y)
+            x, y = node[:-step][same], node[step:][same]
+            near = (hamming([c[:-step][same] for c in code], [c[step:][same] for c in code]) <= distance) & (x != y)
             a.append(x[near])
             b.append(y[near])
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, U), np.empty(0, U))
 
-    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells_left, fps_left = [], []
-        last = None
-
-        def flush():
-            if cells_left:
-                a, b = run(np.concatenate(cells_left), np.concatenate(fps_left))
-                cells_left.clear()
-                fps_left.clear()
-                if len(a):
-                    pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-                    yield pa.record_batch([pa.array(pair[i].view(np.int64)) for i in (0, 1)], names=["x", "y"])
+    def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        part, node, *code = (np.concatenate(x) for x in zip(*held, strict=True))
+        a, b = run(part, node, code or [node])
+        if len(a):
+            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.record_batch([pa.array(pair[i].view(np.int64)) for i in (0, 1)], names=["x", "y"])
 
+    def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
         for batch in batches:
-            cell = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = batch.column(1).to_numpy(zero_copy_only=False).view(U)
-            if not len(cell):
+            if not batch.num_rows:
                 continue
-            split = 0
-            if last is not None and cell[0] == last:  # the open cell goes on
-                split = int(np.searchsorted(cell != last, True)) if (cell != last).any() else len(cell)
-                cells_left.append(cell[:split])
-                fps_left.append(fp[:split])
-            if split < len(cell):
-                yield from flush()
-                tail = int(np.flatnonzero(cell == cell[-1])[0])
-                tail = max(tail, split)
-                if tail > split:
-                    cells_left.append(cell[split:tail])
-                    fps_left.append(fp[split:tail])
-                    yield from flush()
-                cells_left.append(cell[tail:])
-                fps_left.append(fp[tail:])
-            last = cell[-1]
-        yield from flush()
+            columns = [c.to_numpy(zero_copy_only=False).view(U) for c in batch.columns]
+            part = columns[0]
+            tail = int(np.flatnonzero(part != part[-1])[-1]) + 1 if part[0] != part[-1] else 0  # the last part may go on
+            if held and (tail or held[-1][0][-1] != part[0]):
+                yield from flush([*held, [c[:tail] for c in columns]])
+                held = []
+            elif tail:
+                yield from flush([[c[:tail] for c in columns]])
+            held.append([c[tail:] for c in columns])
+        if held:
+            yield from flush(held)
+        trim()
     return op
 
 
+def grid_links(codes: DataFrame, nodes: list[str], distance: int, bits: int, limit: int) -> DataFrame:
+    """(x, y): forests of the links among codes (fp, and the columns `nodes`) that share a cell.
+
+    Fingerprints fp are joined on the grid within `distance`; a link is at most
+    `bits` differing bits of the codes, which are the columns of `nodes` after
+    the first, or the first itself.
+    """
+    visits = codes.select("fp", *nodes).mapInArrow(_visit(distance), "cell long, " + ", ".join(f"{n} long" for n in nodes))
+    big = cut(crowded(codes, distance, limit))
+    if big.isEmpty():
+        parted = visits.withColumnRenamed("cell", "part")
+    else:
+        own, other = F.pmod(F.xxhash64(nodes[0]), F.col("blocks")), F.col("other")
+        placed = visits.join(big, "cell", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        parted = placed.select(F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least(own, other), F.greatest(own, other))).alias("part"), *nodes)
+    return parted.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(bits), "x long, y long")
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
@@ -260,10 +254,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def fingerprint_groups(fps: DataFrame, distance: int = DISTANCE, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of fps (doc_id, fp)."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    limit = max(cell_limit, distinct.count() // 10_000)
-    shared = distinct.sparkSession.sparkContext.broadcast(crowded(distinct, distance, limit))
-    links = (distinct.select("fp").mapInArrow(_visit(distance, shared), "cell long, fp long")
-             .repartition("cell").sortWithinPartitions("cell").mapInArrow(_verify(distance), "x long, y long").distinct())
+    links = grid_links(distinct.select("fp", F.col("fp").alias("node")), ["node"], distance, distance, cell_limit).distinct()
     ends = distinct.where("rep is not null")
     edges = (links.join(ends.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x")
              .join(ends.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b"))

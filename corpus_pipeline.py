@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braidwork.llm import decontamination, langid, packing, similarity, substring_dedup
+from braidwork.llm import decontamination, langid, packing, simhash_similarity, substring_dedup
 from braidwork.llm.queries import tokenizer_path
 from braidwork.llm.scratch import cut
 from braidwork.session import ship_package, table
@@ -21,9 +21,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a five-word similarity of 0.8 or more the document with the smallest doc_id stays."""
+    """SimHash: of each group of texts linked by a five-word similarity of 0.8 or more the document with the smallest doc_id stays."""
     ship_package(spark)
-    return similarity.representatives(docs)
+    return simhash_similarity.representatives(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

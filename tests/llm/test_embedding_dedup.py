@@ -67,6 +67,43 @@ def test_odd_rows(spark):
 
 
 def test_rotation_is_orthogonal():
-    x = m.unit(np.random.default_rng(0).standard_normal((500, 16)).tolist())
+    x = m.unit(np.random.default_rng(0).standard_normal((500, 16)))
     _, p = m.learn_rotation(x, 16)
     assert np.allclose(p.T @ p, np.eye(16))
+
+
+def pairs_at(cosine, n, dim, rng):
+    """Unit vectors and others at about that cosine to them."""
+    x = m.unit(rng.standard_normal((n, dim)))
+    y = rng.standard_normal((n, dim))
+    y = m.unit(y - (y * x).sum(1, keepdims=True) * x)
+    return x, cosine * x + (1 - cosine**2) ** 0.5 * y
+
+
+@pytest.mark.parametrize("vectors", [100, 10_000, 60_000, 250_000, 1_000_000, 10**9])
+def test_recall_of_every_layout(vectors):
+    """Pairs from 0.98 to 0.985, the hardest that count, meet in a table of every layout and are accepted."""
+    rng = np.random.default_rng(vectors % 97)
+    x, y = (np.concatenate(z) for z in zip(*(pairs_at(c, 1500, 64, rng) for c in (0.98, 0.985)), strict=True))
+    mean, projection = m.learn_rotation(np.concatenate([x, y])[::2], 64)
+    differ = m.encode(x, mean, projection) ^ m.encode(y, mean, projection)
+    chunks, near = m.layout(64, vectors, m.RADIUS)
+    meets = np.zeros(len(x), bool)
+    for shift, width in chunks:
+        meets |= np.bitwise_count(differ >> np.uint64(shift) & np.uint64((1 << width) - 1)) <= near
+    found = meets & (np.bitwise_count(differ) <= m.ACCEPT)
+    assert found.mean() >= 0.95
+
+
+def test_doubles_beyond_floats_and_labels_of_any_type(spark):
+    rows = [(1, [1e300, 0.0], "a"), (2, [1.0, 0.0], "a"), (3, [1e-60, 0.0], "a"), (4, [1.0, 0.0], "b"), (5, [1.0, 1.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in m.near_duplicates(df).collect()} == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5)}
+    dates = df.selectExpr("vec_id", "embedding", "date_add(date '2020-01-01', ascii(label)) as label")
+    assert {r.vec_id: r.n_links for r in m.near_duplicates(dates).collect()} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
+
+
+def test_repeated_ids_with_other_vectors(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [0.0, 1.0, 0.01], 1), (3, [0.0, 0.0, 1.0], 1)]
+    got = sorted((r.vec_id, r.component_id) for r in m.near_duplicates(spark.createDataFrame(rows, KIND)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 3)]

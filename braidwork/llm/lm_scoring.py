@@ -26,9 +26,6 @@ How it scales.
    never what it is.
 4. The unigram base needs the count of every token.  The commonest words, HOT
    of them at most, are broadcast; the others are in the same join.
-
-fit() and Tree are the model in one process, with a bounded number of contexts
-and of table entries; score() does not use them.
 """
 
 from __future__ import annotations
@@ -39,13 +36,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import LOWER, U, Words, mix, slices, trim
 
-DEPTH, TOP, GRAMS, SLOTS, HOT = 5, 2, 1 << 20, 1 << 23, 1 << 18
+DEPTH, TOP, GRAMS, HOT = 5, 2, 1 << 20, 1 << 18
 CACHE, SLICE = 1 << 20, 1 << 20
 #: Nodes of the distributed tree that a task weights together; a shard is not divided.
 NODES = 1 << 20
@@ -134,30 +131,6 @@ def _at_least(df: DataFrame, count: str, most: int) -> int | None:
     return least
 
 
-def bounded_grams(grams: DataFrame, depth: int, most: int) -> pa.Table:
-    """(key, depth, c): all counts of grams (key, c), with rare contexts cut until about `most` rows are left.
-
-    A context is kept with all its bytes or cut with all of them.
-    """
-    kept, rest = [], grams.select("key", "c")
-    for d in range(depth, -1, -1):
-        room = most - sum(t.num_rows for t in kept)
-        n = rest.count()
-        every = n <= room or not d
-        if not every:
-            rest = cut(rest.withColumn("total", F.sum("c").over(Window.partitionBy(F.shiftrightunsigned("key", 8)))))
-            least = _at_least(rest, "total", room // 2)  # what is merged further needs room too
-            stays = F.lit(False) if least is None else _level("total") >= least
-        kept.append(rest.where(F.lit(True) if every else stays).select("key", F.lit(d).cast("int").alias("depth"), "c").toArrow())
-        if every:
-            break
-        bits = 8 * (depth - d + 1)  # zero the farthest byte that is left
-        mask = ~(((1 << bits) - 1) << 8) & ((1 << 64) - 1)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        rest = cut(rest.where(~stays).groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("c").alias("c")))
-    return pa.concat_tables(kept)
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 0.5: Stirling's series at x + 8, brought back by the recurrence."""
     y = x + 8
@@ -180,79 +153,6 @@ def _decisions(context: np.ndarray, symbol: np.ndarray, count: np.ndarray, bit:
     return at[new], (total - one).astype(float), one.astype(float)
 
 
-def slot(node: np.ndarray, depth: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entry of the table, tag that tells nodes of an entry apart)."""
-    h = mix(node + U(depth + 1) * U(0x9E3779B97F4A7C15 >> 8))
-    return (h & U(slots - 1)).astype(np.int64), (h >> U(48)).astype(np.uint16) | np.uint16(1)
-
-
-class Tree:
-    """Per entry: tag (0: free), KT probability of a one, probability that the path ends here."""
-
-    def __init__(self, key: np.ndarray, depths: np.ndarray, count: np.ndarray, depth: int, slots: int):
-        self.depth, self.slots = depth, slots
-        self.tag, self.p, self.w = np.zeros(slots, np.uint16), np.zeros(slots, np.float32), np.zeros(slots, np.float32)
-        size = np.zeros(slots, np.float32)
-        half = math.log(0.5)
-        every, ends = [], []  # by depth: (context and byte, count), and of what was cut there
-        for d in range(depth + 1):
-            short = U(8 * (depth - d))
-            for out, some in ((every, depths >= d), (ends, depths == d)):
-                out.append(_merge([(key[some] >> U(8) >> short) << U(8) | key[some] & U(255)], [count[some]]))
-        for bit in range(8):  # the trees of the eight decisions are separate
-            below_node, below_weight = np.empty(0, U), np.empty(0)
-            for d in range(depth, -1, -1):
-                packed, c = every[d]
-                if not len(packed):
-                    continue
-                node, n0, n1 = _decisions(packed >> U(8), packed & U(255), c, bit)
-                kt = log_kt(n0, n1)
-                weighted, stop = kt, np.ones(len(node))
-                if d < depth:  # the children, and what was cut at this depth as one more child
-                    deeper = np.bincount(np.searchsorted(node, below_node), weights=below_weight, minlength=len(node))
-                    last, c = ends[d]
-                    if len(last):
-                        x, z, o = _decisions(last >> U(8), last & U(255), c, bit)
-                        deeper[np.searchsorted(node, x)] += log_kt(z, o)
-                    weighted = np.logaddexp(half + kt, half + deeper)
-                    stop = np.exp(half + kt - weighted)
-                at, tag = slot(node, d, slots)
-                n = (n0 + n1 + (d < 2) * 1e15).astype(np.float32)  # the shallow nodes always have their place
-                order = np.argsort(n, kind="stable")
-                order = order[n[order] > size[at[order]]]
-                size[at[order]], self.tag[at[order]], self.p[at[order]], self.w[at[order]] = n[order], tag[order], ((n1 + 0.5) / (n0 + n1 + 1))[order], stop[order]
-                below_node, below_weight = (node >> U(16)) << U(8) | node & U(255), weighted
-
-    def log10(self, key: np.ndarray) -> np.ndarray:
-        """log10 probability of each key's byte after its context."""
-        symbol = key & U(255)
-        total = np.zeros(len(key))
-        for bit in range(8):
-            rest, mixed, last = np.ones(len(key)), np.zeros(len(key)), np.full(len(key), 0.5)
-            for d in range(self.depth + 1):
-                node = (key >> U(8) >> U(8 * (self.depth - d))) << U(8) | (U(1 << bit) | symbol >> U(8 - bit))
-                at, tag = slot(node, d, self.slots)
-                seen = self.tag[at] == tag
-                p, w = self.p[at].astype(np.float64), self.w[at].astype(np.float64)
-                mixed += np.where(seen, rest * w * p, 0)
-                rest = np.where(seen, rest * (1 - w), rest)
-                last = np.where(seen, p, last)
-            mixed += rest * last
-            total += np.log10(np.where(symbol >> U(7 - bit) & U(1) == 1, mixed, 1 - mixed))
-        return total
-
-
-def fit(texts: DataFrame, depth: int = DEPTH, most: int = GRAMS, slots: int = SLOTS) -> Tree:
-    """The weighted tree of all rows of texts (text)."""
-    grams = cut(texts.select("text").mapInArrow(_count_grams(depth), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
-    got = bounded_grams(grams, depth, most)
-    trim()
-    tree = Tree(got["key"].to_numpy().view(U), got["depth"].to_numpy(), got["c"].to_numpy(), depth, slots)
-    del got
-    trim()
-    return tree
-
-
 class Level:
     """Nodes of one depth, sorted, with the KT probability of a one and the probability that a path ends there."""
 
@@ -389,8 +289,8 @@ class Known:
 class Memory:
     """Log-probabilities already computed, one per entry; a later key replaces an earlier one."""
 
-    def __init__(self, tree: Tree):
-        self.tree = tree
+    def __init__(self, known: Known):
+        self.known = known
         self.key, self.value = np.full(CACHE, (1 << 64) - 1, U), np.zeros(CACHE)
 
     def log10(self, key: np.ndarray) -> np.ndarray:
@@ -399,7 +299,7 @@ class Memory:
         miss = np.flatnonzero(self.key[at] != key)
         if len(miss):
             new, back = np.unique(key[miss], return_inverse=True)
-            value = np.concatenate([self.tree.log10(new[k:k + 65_536]) for k in range(0, len(new), 65_536)])
+            value = np.concatenate([self.known.log10(new[k:k + 65_536]) for k in range(0, len(new), 65_536)])
             out[miss] = value[back]
             at = (mix(new) & U(CACHE - 1)).astype(np.int64)
             self.key[at], self.value[at] = new, value
@@ -439,7 +339,7 @@ def _tokens(model, common, depth: int):
             hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
             at, r = at[hit], row[hit]
             sums = [np.bincount(r, weights=x[at], minlength=rows) for x in (base, (c > 0).astype(float))] if len(at) else [np.zeros(rows)] * 2
-            doc = np.array([xxhash.xxh64_intdigest(b"%s\0%s" % (str(i).encode(), t.encode()), 9) for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)], U)
+            doc = np.array([xxhash.xxh64_intdigest(t, 9) for t in texts.to_pylist()], U)
             yield _batch(doc, mix(doc), np.zeros(rows, np.int32), False, ids, b.column(2), np.diff(w.first).astype(np.int64) + 1, np.diff(first), sums[0], sums[1], lp)
             for rare, rare_row, is_gram in ((h[~hit], row[~hit], False), (rare_gram, gram_row, True)):
                 if not len(rare):
@@ -450,7 +350,7 @@ def _tokens(model, common, depth: int):
                 tf = np.diff(np.append(new, len(rare))).astype(np.int32)
                 for k in range(0, len(new), 100_000):
                     x = new[k:k + 100_000]
-                    yield _batch(doc[rare_row[x]], rare[x], tf[k:k + 100_000], is_gram)
+                    yield _batch(doc[rare_row[x]], rare[x], tf[k:k + 100_000], is_gram, ids.take(pa.array(rare_row[x])))
         del memory
         trim()
     return op
@@ -459,25 +359,27 @@ def _tokens(model, common, depth: int):
 TOKEN = "doc long, h long, tf int, gram boolean, doc_id long, held_out boolean, n_tokens long, n_bytes long, base double, known double, lp double"
 
 
-def _batch(doc, h, tf, gram, *more) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+def _batch(doc, h, tf, gram, ids, *more) -> pa.RecordBatch:
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
     rest = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(more, kinds, strict=True)] if more else [pa.nulls(len(doc), t) for t in kinds]
-    return pa.record_batch([pa.array(doc.view(np.int64)), pa.array(h.view(np.int64)), pa.array(tf), pa.array(np.full(len(doc), gram)), *rest], names=[x.split(" ")[0] for x in TOKEN.split(", ")])
+    return pa.record_batch([pa.array(doc.view(np.int64)), pa.array(h.view(np.int64)), pa.array(tf), pa.array(np.full(len(doc), gram)), ids, *rest], names=[x.split(" ")[0] for x in TOKEN.split(", ")])
 
 
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
 
 
-def score(docs: DataFrame, depth: int = DEPTH, most: int = GRAMS, slots: int = NODES, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, most: int = GRAMS, nodes: int = NODES, hot: int = HOT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row.
 
     Learns from rows that are not held out.  A null text is an empty one: its
     end alone.  base_score is the smoothed unigram's, score the context tree's
     log10 probability of the text; bits_per_byte spreads that over the coded
     bytes.  `most` grams and `hot` words at most are broadcast, and a task weights
-    about `slots` nodes together; neither changes a result.  Words are told apart by 64-bit hashes.  Rows without doc_id are
-    scored and learned from.  Repeated rows are each returned.
+    about `nodes` nodes together; neither changes a result.  Words are told apart
+    by 64-bit hashes, documents by doc_id and a hash of their text.  Rows without
+    doc_id are scored and learned from.  Repeated rows are each returned.  Other
+    columns are not read.  The tree is built when this is called.
     """
     sc = docs.sparkSession.sparkContext
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out(), F.lit(False)).alias("held_out"))
@@ -492,7 +394,7 @@ def score(docs: DataFrame, depth: int = DEPTH, most: int = GRAMS, slots: int = N
     order = np.argsort(got["h"].to_numpy().view(U))
     counts = got["c"].to_numpy()[order]
     shared = sc.broadcast((got["h"].to_numpy().view(U)[order], counts, np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))))
-    grams = gram_scores(rows.select("text", (~F.col("held_out")).alias("learn")), depth, slots)
+    grams = gram_scores(rows.select("text", (~F.col("held_out")).alias("learn")), depth, nodes)
     least = _at_least(grams, "times", most)
     near = F.lit(False) if least is None else _level("times") >= least
     got = grams.where(near).select("key", "lp").toArrow()
@@ -507,8 +409,8 @@ def score(docs: DataFrame, depth: int = DEPTH, most: int = GRAMS, slots: int = N
     rate = lambda c: F.log10((c + 0.5) / F.lit(n + 0.5 * (v + 1)))
     is_rare = (F.col("tf") > 0) & ~F.col("gram")
     is_gram = (F.col("tf") > 0) & F.col("gram")
-    per = met.groupBy("doc").agg(
-        *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_bytes", "lp")), F.count("n_tokens").alias("copies"),
+    per = met.groupBy("doc_id", "doc").agg(
+        *(F.max(x).alias(x) for x in ("held_out", "n_tokens", "n_bytes", "lp")), F.count("n_tokens").alias("copies"),
         F.sum(F.when(is_gram, F.col("tf") * F.col("gram_lp")).otherwise(0.0)).alias("rare_lp"),
         F.sum(F.when(is_rare, F.when(F.col("wc") > 0, F.col("tf")).otherwise(0)).otherwise(F.col("known"))).alias("known"),
         F.sum(F.when(is_rare, F.col("tf") * rate(F.col("wc"))).otherwise(F.col("base"))).alias("base"))

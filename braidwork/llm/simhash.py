@@ -85,10 +85,10 @@ def _steps(radius: int) -> list[tuple[tuple[int, int], ...]]:
     return list(moves)
 
 
-def homes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The grid cell of each fingerprint in either half; the half is bit 32."""
-    embedded = counts(fp)
-    return tuple((embedded >> U(32 * half)) & U(0xFFFFFFFF) | U(half) << U(32) for half in (0, 1))
+def homes(fp: np.ndarray, grid: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The grid cell of each fingerprint in either half; the half is bit 32, the number of the grid above it."""
+    embedded, above = counts(fp), np.asarray(grid).astype(U) << U(33)
+    return tuple((embedded >> U(32 * half)) & U(0xFFFFFFFF) | U(half) << U(32) | above for half in (0, 1))
 
 
 def around(cell: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,15 +110,15 @@ def reach(distance: int) -> int:
     return (distance // 2 + 1) // 2
 
 
-def cells(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def cells(fp: np.ndarray, distance: int, grid: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(index into fp, cell): the grid cells that each fingerprint visits in both halves."""
-    got = [around(h, reach(distance)) for h in homes(fp)]
+    got = [around(h, reach(distance)) for h in homes(fp, grid)]
     return np.concatenate([i for i, _ in got]), np.concatenate([c for _, c in got])
 
 
 def _count_homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cell, c = np.unique(np.concatenate(homes(b.column(0).to_numpy(zero_copy_only=False).view(U))), return_counts=True)
+        cell, c = np.unique(np.concatenate(homes(b.column(0).to_numpy(zero_copy_only=False).view(U), b.column(1).to_numpy())), return_counts=True)
         yield pa.record_batch([pa.array(cell.view(np.int64)), pa.array(c.astype(np.int64))], names=["cell", "c"])
 
 
@@ -133,26 +133,26 @@ def _spread(distance: int):
 
 
 def crowded(codes: DataFrame, distance: int, limit: int) -> DataFrame:
-    """(cell, blocks): the cells with over `limit` visits from heavy home cells, and in how many blocks to compare them.
+    """(cell, blocks): the cells with over `limit` visits from heavy home cells (fp, grid), and in how many blocks to compare them.
 
     A home is heavy with limit / moves fingerprints (fp), so a cell that is not
     listed has at most 2 x limit visits, and a block at most about limit / 2.
     """
     moves = len(_steps(reach(distance)))
-    heavy = codes.select("fp").mapInArrow(_count_homes, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") >= max(1, limit // moves))
+    heavy = codes.select("fp", "grid").mapInArrow(_count_homes, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") >= max(1, limit // moves))
     big = heavy.mapInArrow(_spread(distance), "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c")).where(F.col("c") > limit)
     return big.select("cell", (2 * F.ceil(F.col("c") / limit)).cast("int").alias("blocks"))
 
 
 def _visit(distance: int):
-    """(cell, what follows) for every cell that a row (fp, ...) visits."""
+    """(cell, what follows) for every cell that a row (fp, grid, ...) visits."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 4096):
                 part = b.slice(at, 4096)
-                index, cell = cells(part.column(0).to_numpy(zero_copy_only=False).view(U), distance)
+                index, cell = cells(part.column(0).to_numpy(zero_copy_only=False).view(U), distance, part.column(1).to_numpy())
                 pick = pa.array(index)
-                yield pa.record_batch([pa.array(cell.view(np.int64)), *(c.take(pick) for c in part.columns[1:])], names=["cell", *part.schema.names[1:]])
+                yield pa.record_batch([pa.array(cell.view(np.int64)), *(c.take(pick) for c in part.columns[2:])], names=["cell", *part.schema.names[2:]])
     return op
 
 
@@ -228,16 +228,15 @@ def _verify(distance: int, dense: int = 48):
     return op
 
 
-def grid_links(codes: DataFrame, nodes: list[str], distance: int, bits: int, limit: int) -> DataFrame:
-    """(x, y): forests of the links among codes (fp, and the columns `nodes`) that share a cell.
+def grid_links(codes: DataFrame, nodes: list[str], distance: int, bits: int, big: DataFrame | None) -> DataFrame:
+    """(x, y): forests of the links among codes (fp, grid, and the columns `nodes`) that share a cell.
 
     Fingerprints fp are joined on the grid within `distance`; a link is at most
     `bits` differing bits of the codes, which are the columns of `nodes` after
-    the first, or the first itself.
+    the first, or the first itself.  big has the crowded cells, if there are any.
     """
-    visits = codes.select("fp", *nodes).mapInArrow(_visit(distance), "cell long, " + ", ".join(f"{n} long" for n in nodes))
-    big = cut(crowded(codes, distance, limit))
-    if big.isEmpty():
+    visits = codes.select("fp", "grid", *nodes).mapInArrow(_visit(distance), "cell long, " + ", ".join(f"{n} long" for n in nodes))
+    if big is None:
         parted = visits.withColumnRenamed("cell", "part")
     else:
         own, other = F.pmod(F.xxhash64(nodes[0]), F.col("blocks")), F.col("other")
@@ -254,7 +253,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def fingerprint_groups(fps: DataFrame, distance: int = DISTANCE, cell_limit: int = CELL_LIMIT) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of fps (doc_id, fp)."""
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    links = grid_links(distinct.select("fp", F.col("fp").alias("node")), ["node"], distance, distance, cell_limit).distinct()
+    codes = distinct.select("fp", F.lit(0).alias("grid"), F.col("fp").alias("node"))
+    big = cut(crowded(codes, distance, cell_limit))
+    links = grid_links(codes, ["node"], distance, distance, None if big.isEmpty() else big).distinct()
     ends = distinct.where("rep is not null")
     edges = (links.join(ends.select(F.col("fp").alias("x"), F.col("rep").alias("a")), "x")
              .join(ends.select(F.col("fp").alias("y"), F.col("rep").alias("b")), "y").select("a", "b"))

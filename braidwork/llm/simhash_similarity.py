@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from braidwork.llm.components import components
 from braidwork.llm.scratch import cut, small_batches
-from braidwork.llm.simhash import CELL_LIMIT, grid_links, hamming
+from braidwork.llm.simhash import CELL_LIMIT, crowded, grid_links, hamming
 from braidwork.llm.words import LOWER, U, Words, grams, mix, slices, trim
 
 SHINGLE, SIMILARITY, ROUNDS, RADIUS, BITS = 5, 0.8, 10, 4, 32
@@ -178,10 +178,13 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, l
     rows = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(rows.mapInArrow(_sketch(shingle), "doc_id long, set long, n long, fps array<long>"))
     distinct = cut(sketched.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps")))
+    every = distinct.select(F.posexplode(F.slice("fps", 1, ROUNDS)).alias("grid", "fp"))
+    big = cut(crowded(every, RADIUS, cell_limit))
+    big = None if big.isEmpty() else big
     code = [F.col("fps")[ROUNDS + i].alias(f"code{i}") for i in range(CODE)]
     met = None
     for k in range(ROUNDS):
-        found = cut(grid_links(distinct.select(F.col("fps")[k].alias("fp"), "set", *code), ["set", *(f"code{i}" for i in range(CODE))], RADIUS, bits, cell_limit))
+        found = cut(grid_links(distinct.select(F.col("fps")[k].alias("fp"), F.lit(k).alias("grid"), "set", *code), ["set", *(f"code{i}" for i in range(CODE))], RADIUS, bits, big))
         met = found if met is None else met.unionByName(found)
     clusters = cut(components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("set"), F.col("component").alias("cluster")))
     members = clusters.join(distinct.select("set", "rep", "n"), "set")

@@ -30,7 +30,7 @@ def order(rows):
 @pytest.mark.parametrize("hot", [20, 1 << 18])
 def test_base_matches_brute_force(documents, hot):
     want = plain_base([(r.doc_id, r.text) for r in documents.collect()])
-    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in m.score(documents, hot=hot, slots=1 << 20).collect()]
+    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in m.score(documents, hot=hot, nodes=1 << 20).collect()]
     assert order(got) == order(want)
 
 
@@ -90,33 +90,37 @@ def stream(text):
     return b"".join(w + b" " for w in text.encode().lower().split()) + b" "
 
 
-def test_tree_matches_a_recursive_one(spark):
+def whole_tree(streams, depth, top):
+    """All levels of the distributed tree, put together in one place."""
+    key, count = np.unique(np.concatenate(streams), return_counts=True) if streams else (np.empty(0, np.uint64), np.empty(0, int))
+    shards = m.shard_levels(key, count, depth, top)
+    return m.top_levels(*shards[top + 1].shorter(), top) | shards if shards else {}
+
+
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_levels_match_a_recursive_tree(depth):
     learn = ["the cat sat on the mat", "The dog sat", "a cat, a dog and a mat " * 3, ""]
     new = ["the cat", "zebra mat on", "", "THE DOG and the Mat"]
-    for depth in (1, 3, 5):
-        tree = m.fit(spark.createDataFrame([(t,) for t in learn], "text string"), depth=depth, slots=1 << 20)
-        plain = PlainTree([stream(t) for t in learn], depth)
-        key, first = m.byte_stream(Words(pa.array(new + learn)), depth)
-        got = np.add.reduceat(m.Memory(tree).log10(key), first[:-1])
-        assert got == pytest.approx([plain.log10(stream(t)) for t in new + learn], rel=1e-5)
+    plain = PlainTree([stream(t) for t in learn], depth)
+    levels = whole_tree([m.byte_stream(Words(pa.array(learn)), depth)[0]], depth, min(m.TOP, depth - 1))
+    key, first = m.byte_stream(Words(pa.array(new + learn)), depth)
+    got = np.add.reduceat(m.log10_of(key, levels, depth), first[:-1])
+    assert got == pytest.approx([plain.log10(stream(t)) for t in new + learn], rel=1e-9)
 
 
 def test_probabilities_sum_to_one(documents):
-    tree = m.fit(documents.select("text"), depth=3, most=2000, slots=1 << 16)
+    texts = pa.array([r.text for r in documents.limit(50).collect()])
+    levels = whole_tree([m.byte_stream(Words(texts), 3)[0]], 3, 2)
     for context in (b"\0\0\0", b"the", b"\xff q"):
         start = sum(c << 8 * i for i, c in enumerate(context)) << 8
-        assert (10 ** tree.log10(np.arange(256, dtype=np.uint64) + np.uint64(start))).sum() == pytest.approx(1)
-
+        assert (10 ** m.log10_of(np.arange(256, dtype=np.uint64) + np.uint64(start), levels, 3)).sum() == pytest.approx(1)
 
-def test_cut_contexts_keep_every_count(spark, documents):
-    from pyspark.sql import functions as F
 
-    grams = documents.select("text").mapInArrow(m._count_grams(4), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    total = grams.agg(F.sum("c")).first()[0]
-    for most in (100, 3000, 1 << 20):
-        got = m.bounded_grams(grams, 4, most)
-        assert sum(got["c"].to_pylist()) == total
-        assert got.num_rows <= max(2 * most, 256)
+def test_documents_that_share_an_id(spark):
+    rows = [(2, "one two three"), (2, "four five six seven"), (2, "one two three"), (None, "one two three"), (3, "four")]
+    got = m.score(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as doc", "2 as tf", "3 as lp"), hot=1, most=1).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got) == sorted((i or 0, len(t.split()) + 1) for i, t in rows)
+    assert len({r.score for r in got if r.n_tokens == 4}) == 1
 
 
 def test_beats_the_base_when_there_is_enough_to_learn(spark):
@@ -126,20 +130,20 @@ def test_beats_the_base_when_there_is_enough_to_learn(spark):
 
 def test_odd_rows(odd):
     want = plain_base([(r.doc_id, r.text) for r in odd.collect()])
-    got = [r for r in m.score(odd, slots=1 << 20).collect()]
+    got = [r for r in m.score(odd, nodes=1 << 20).collect()]
     assert order([(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got]) == order(want)
     assert all(r.score < 0 and r.bits_per_byte > 0 for r in got)
 
 
 def test_empty(empty):
-    assert m.score(empty, slots=1 << 16).count() == 0
+    assert m.score(empty, nodes=1 << 16).count() == 0
 
 
-@pytest.mark.parametrize(("most", "slots"), [(30, 1 << 8), (1 << 20, 1 << 20)])
-def test_scores_are_those_of_the_whole_tree(spark, most, slots):
+@pytest.mark.parametrize(("most", "nodes"), [(30, 1 << 8), (1 << 20, 1 << 20)])
+def test_scores_are_those_of_the_whole_tree(spark, most, nodes):
     texts = ["the cat sat on the mat", "The dog sat", "a cat, a dog and a mat " * 3, "", "zebra \u00fc mat on", "THE DOG and the Mat"]
     rows = [*((i, t) for i, t in enumerate(texts * 3)), (3, ""), (4, texts[4])]
     plain = PlainTree([stream(t) for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1], m.DEPTH)
-    got = m.score(spark.createDataFrame(rows, "doc_id long, text string"), most=most, slots=slots).collect()
+    got = m.score(spark.createDataFrame(rows, "doc_id long, text string"), most=most, nodes=nodes).collect()
     assert any(r.held_out for r in got) and len(got) == len(rows)
     assert [r.score for r in sorted(got, key=lambda r: r.doc_id)] == pytest.approx([plain.log10(stream(t)) for _, t in sorted(rows)], rel=1e-9)

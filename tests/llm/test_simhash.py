@@ -70,7 +70,7 @@ def test_crowded_cells_are_split(spark):
     rng = random.Random(6)
     center = rng.getrandbits(64)
     fps = sorted({center ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(3))) for _ in range(300)})
-    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
+    df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long").selectExpr("fp", "0 as grid")
     found = {r.cell: r.blocks for r in m.crowded(df, 4, 20).collect()}
     visits = {}
     index, to = m.cells(np.array(fps, np.uint64), 4)

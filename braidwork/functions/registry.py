@@ -32,3 +32,11 @@ def register_tool(spark: SparkSession, name: str, function: Callable, returns: s
 def typed_arguments(calls: DataFrame, parameters: dict, column: str = "arguments") -> DataFrame:
     """calls with `args`: the JSON arguments read with the types of a JSON Schema, null where malformed."""
     return calls.withColumn("args", F.from_json(column, schema_type(parameters), {"mode": "PERMISSIVE"}))
+
+
+def register_snapshot(spark: SparkSession, rooms: DataFrame, doors: DataFrame, name: str = "house_snapshot") -> None:
+    """The state of all devices as a SQL table function: name() has category, device, current, target, status."""
+    rooms.createOrReplaceTempView(f"{name}_rooms")
+    doors.createOrReplaceTempView(f"{name}_doors")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}() RETURNS TABLE (category STRING, device STRING, current DOUBLE, target DOUBLE, status STRING) RETURN
+        SELECT 'temperature', room, current, target, CAST(NULL AS STRING) FROM {name}_rooms UNION ALL SELECT 'doors', door, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), status FROM {name}_doors""")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,11 +47,6 @@ def default_if_empty(text: Column, default: str) -> Column:
 
 
 def render(template: str, **values: Column) -> Column:
-    """The template with each {name} replaced literally; braces in values are left alone.
-
-    Values are put in one after the other, so a name must not occur in an earlier value.
-    """
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit("{" + name + "}"), value)
-    return out
+    """The template with each {name} replaced literally, in one pass: braces and names in values are left alone."""
+    parts = re.split(r"\{(" + "|".join(map(re.escape, values)) + r")\}", template) if values else [template]
+    return F.concat(*(values[p] if i % 2 else F.lit(p) for i, p in enumerate(parts)))

@@ -9,6 +9,11 @@ MAX_ITERATIONS = 10
 FAILED = "Error executing tool"
 
 
+def not_found(tool: Column) -> Column:
+    """The error text for a tool that is not among the candidates."""
+    return F.concat(F.lit("Tool '"), F.coalesce(tool, F.lit("None")), F.lit("' not found in registry."))
+
+
 def resolve_calls(calls: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Every call with is_error and error: one whose tool is not among its candidates is an error row.
 
@@ -17,7 +22,18 @@ def resolve_calls(calls: DataFrame, candidates: DataFrame, keys: list[str]) -> D
     """
     known = candidates.select(*keys).distinct().withColumn("_found", F.lit(True))
     out = calls.join(known, keys, "left").withColumn("is_error", F.col("_found").isNull()).drop("_found")
-    return out.withColumn("error", F.when(F.col("is_error"), F.concat(F.lit("Tool '"), F.col(keys[-1]).cast("string"), F.lit("' not found in registry"))))
+    return out.withColumn("error", F.when(F.col("is_error"), not_found(F.col(keys[-1]).cast("string"))))
+
+
+def correlate(calls: DataFrame, results: DataFrame, call_id: str = "call_id", keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
+    """Calls with the result that answers each by its id within a run; calls without an answer keep nulls.
+
+    results: keys, call_id, result and is_error; the first of several answers
+    counts, by is_error then result.
+    """
+    on = [*keys, call_id]
+    first = results.groupBy(*on).agg(F.min(F.struct("is_error", "result")).alias("answer"))
+    return calls.join(first, on, "left").select(*calls.columns, F.col("answer.result").alias("result"), F.col("answer.is_error").alias("is_error"))
 
 
 def result_text(tool: Column, result: Column, failure: Column) -> Column:
@@ -42,8 +58,8 @@ def terminate(steps: DataFrame, cap: int = MAX_ITERATIONS, run: str = "run_id")
 
 
 def is_final(finish_reason: Column, tool_calls: Column) -> Column:
-    """An answer is final unless it stops for tool calls and has some."""
-    return ~((finish_reason == "tool_calls") & (F.coalesce(F.size(tool_calls), F.lit(0)) > 0))
+    """An answer is final unless it stops for tool calls and has some; without a reason it is final."""
+    return ~(F.coalesce(finish_reason == "tool_calls", F.lit(False)) & F.coalesce(tool_calls.isNotNull() & (F.size(tool_calls) > 0), F.lit(False)))
 
 
 def total_tokens(rounds: DataFrame, by: str) -> DataFrame:

@@ -19,10 +19,26 @@ def catalog(spark: SparkSession, tools: list[dict]) -> DataFrame:
 def register(tools: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): the first tool of each name by ord, and the others with an error."""
     ranked = tools.withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("ord")))
-    error = F.concat(F.lit("Tool '"), "name", F.lit("' is already registered"))
+    error = F.concat(F.lit("Tool with name '"), "name", F.lit("' already exists."))
     return ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n").withColumn("error", error)
 
 
+def append(stored: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to append, rejected) of new tools for a stored catalogue: names that are stored or come earlier are rejected.
+
+    The new tools are numbered on from the stored ones.  Write the first with
+    sources.files.append_rows.
+    """
+    last = stored.agg(F.coalesce(F.max("ord"), F.lit(-1)).alias("last"))
+    accepted, rejected = register(new)
+    known = stored.select("name").distinct()
+    fresh = accepted.join(known, "name", "left_anti")
+    error = F.concat(F.lit("Tool with name '"), "name", F.lit("' already exists."))
+    again = accepted.join(known, "name", "left_semi").withColumn("error", error)
+    columns = [c for c in stored.columns if c != "ord"]
+    return fresh.crossJoin(last).withColumn("ord", F.col("last") + 1 + F.col("ord")).select("ord", *columns).select(*stored.columns), rejected.unionByName(again)  # last is one row
+
+
 def register_first(tools: DataFrame) -> DataFrame:
     """The accepted tools by one pre-aggregated group, for catalogues where a name may be very frequent."""
     rest = [c for c in tools.columns if c != "name"]

@@ -38,9 +38,20 @@ def history(messages: DataFrame, roles: tuple[str, ...] = ("user", "assistant"))
 
 
 def audit_log(messages: DataFrame, last: int = AUDIT, chars: int = AUDIT_CHARS) -> DataFrame:
-    """Each message with `audit`: the last messages as lines of role and text, cut to a length."""
-    lines = F.collect_list(F.concat("role", F.lit(": "), "text")).over(_by_turn().rowsBetween(-(last - 1), 0))
-    return messages.select("conv_id", "turn", preview(F.array_join(lines, "\n"), chars).alias("audit"))
+    """Each message with `audit`: the last messages as a JSON list of role and content, cut to a length; nulls stay nulls."""
+    said = F.collect_list(F.struct(F.col("role").alias("role"), F.col("text").alias("content"))).over(_by_turn().rowsBetween(-(last - 1), 0))
+    return messages.select("conv_id", "turn", preview(F.to_json(said, {"ignoreNullFields": "false"}), chars).alias("audit"))
+
+
+def next_turn(finished: DataFrame, utterances: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, messages) for the next turn: the messages a run ended with and what the user says then (run, text).
+
+    A run without earlier messages starts with the utterance; runs without an
+    utterance do not go on.
+    """
+    kind = dict(finished.dtypes)["messages"]
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"), F.lit(None).alias("blocks"))).cast(kind)
+    return utterances.join(finished.select(run, "messages"), run, "left").select(run, F.concat(F.coalesce("messages", F.array().cast(kind)), said).alias("messages"))
 
 
 def accepted_input(utterances: DataFrame) -> DataFrame:

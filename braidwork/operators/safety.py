@@ -26,8 +26,13 @@ PATTERNS: tuple[tuple[str, str], ...] = (
 
 
 def reason(text: Column, patterns=PATTERNS) -> Column:
-    """The reason of the first pattern found, or an empty string (for null too)."""
-    return F.coalesce(*(F.when(text.rlike(any_case(p)), F.lit(r)) for p, r in patterns), F.lit(""))
+    """The reason of the first pattern found, or an empty string (for null too).
+
+    Texts are held against all patterns at once; only those that have one are
+    held against each.
+    """
+    first = F.coalesce(*(F.when(text.rlike(any_case(p)), F.lit(r)) for p, r in patterns), F.lit(""))
+    return F.when(text.rlike(any_case("|".join(f"(?:{p})" for p, _ in patterns))), first).otherwise(F.lit("")) if patterns else F.lit("")
 
 
 def verdict(text: Column, patterns=PATTERNS) -> Column:

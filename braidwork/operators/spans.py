@@ -1,7 +1,8 @@
 """Flat span tables: durations, trees, roll-ups, pairing of starts and ends.
 
 A span is (trace_id, span_id, parent_id, name, start_ts, end_ts, attributes,
-status); the tree is derived, as Spark has no recursive type.
+status) and known by trace_id and span_id; the tree is derived, as Spark has
+no recursive type.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from braidwork.session import written
 
 EVENT_CHARS = 4096
+#: Fixed value: the service that spans are exported for.
+SERVICE = "home-agent"
 
 
 def duration_ms(start: Column, end: Column) -> Column:
@@ -24,62 +27,67 @@ def set_attributes(attributes: Column, new: Column) -> Column:
     return F.map_from_entries(F.concat(F.map_entries(F.map_filter(attributes, lambda k, _: ~F.map_contains_key(new, k))), F.map_entries(new)))
 
 
-def _climb(base: DataFrame, rounds: int, with_path: bool) -> DataFrame | None:
-    """Pointer doubling over (span_id, up); None if some span has not reached a root after the rounds."""
-    state = base.select("span_id", "up", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("span_id").alias("root_id"), F.col("span_id").cast("string").alias("path"))
-    for _ in range(rounds + 1):
-        state = written(state)
-        if state.where("up is not null").isEmpty():
-            return state.select("span_id", "depth", "root_id", "path")
-        above = state.select(F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("path").alias("path2"), F.col("root_id").alias("root2"))
-        path = F.when(F.col("path2").isNotNull(), F.concat("path2", F.lit("/"), "path")).otherwise(F.col("path")) if with_path else F.lit("")
-        state = state.join(above, "up", "left").select(
-            "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root_id").alias("root_id"), path.alias("path"))
-    return None
+def _placed(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, depth, root_id, way: way holds (start_ts, span_id) from the root to the span.
+
+    Pointers double: after n rounds each span knows its ancestor 2^n steps up,
+    so the number of joins grows with the logarithm of the depth.
+    """
+    step = F.array(F.struct("start_ts", "span_id"))
+    base = spans.select("trace_id", "span_id", "parent_id", F.col("start_ts").cast("timestamp").alias("start_ts"))
+    ids = base.select("trace_id", F.col("span_id").alias("parent_id"), F.lit(True).alias("there"))
+    state = written(base.join(ids, ["trace_id", "parent_id"], "left").select(
+        "trace_id", "span_id", F.when(F.col("there"), F.col("parent_id")).alias("up"), F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"), F.col("span_id").alias("root_id"), step.alias("way")))
+    while True:
+        # a span with as many ancestors as its trace has spans is among its own
+        n, most, open_ = state.groupBy("trace_id").agg(F.count("*").alias("n"), F.max("depth").alias("most"), F.count("up").alias("open")).agg(
+            F.count("*"), F.max(F.expr("open > 0 and most >= n")), F.sum("open")).first()
+        if n and most:
+            raise ValueError("the parents form a cycle")
+        if not open_:
+            return state.drop("up")
+        above = state.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("way").alias("way2"), F.col("root_id").alias("root2"))
+        state = written(state.join(above, ["trace_id", "up"], "left").select(
+            "trace_id", "span_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root_id").alias("root_id"),
+            F.when(F.col("up").isNotNull(), F.concat("way2", "way")).otherwise(F.col("way")).alias("way")))
 
 
 def tree(spans: DataFrame) -> DataFrame:
-    """span_id, depth, root_id, path for each span (span_id, parent_id).
+    """trace_id, span_id, depth, root_id, path for each span (trace_id, span_id, parent_id, start_ts).
 
-    Pointers double: after n rounds each span knows its ancestor 2^n steps up,
-    so the number of joins grows with the logarithm of the depth.  A span whose
-    parent is not in the table is a root.  Cycles are an error, found before
-    any path is put together.
+    Span ids are those of a trace: other traces may use them too.  A span
+    whose parent is not in its trace is a root.  Cycles are an error.  The
+    rounds run when this is called.
     """
-    base = spans.select("span_id", "parent_id")
-    ids = base.select(F.col("span_id").alias("parent_id"), F.lit(True).alias("there"))
-    base = written(base.join(ids, "parent_id", "left").select("span_id", F.when(F.col("there"), F.col("parent_id")).alias("up")))
-    depths = _climb(base, base.count().bit_length(), False)
-    if depths is None:
-        raise ValueError("the parents form a cycle")
-    deepest = depths.agg(F.max("depth")).first()[0] or 0
-    return _climb(base, deepest.bit_length() + 1, True)
+    ids = F.array_join(F.transform("way", lambda x: x["span_id"].cast("string")), "/")
+    return _placed(spans).select("trace_id", "span_id", "depth", "root_id", ids.alias("path"))
 
 
 def children(spans: DataFrame) -> DataFrame:
-    """parent_id, n_children, children (names in order of start, then id)."""
+    """trace_id, parent_id, n_children, children (names in order of start, then id)."""
     nested = F.array_sort(F.collect_list(F.struct("start_ts", "span_id", "name")))
-    return spans.where("parent_id is not null").groupBy("parent_id").agg(F.count("*").alias("n_children"), F.transform(nested, lambda x: x["name"]).alias("children"))
+    return spans.where("parent_id is not null").groupBy("trace_id", "parent_id").agg(F.count("*").alias("n_children"), F.transform(nested, lambda x: x["name"]).alias("children"))
 
 
 def trace_json(spans: DataFrame) -> DataFrame:
-    """span_id, trace: a JSON object for each root with all its descendants nested.
+    """trace_id, span_id, trace: a JSON object for each root with all its descendants nested.
 
-    Works up from the deepest level; a level is one aggregation.
+    The spans of a tree are put in order, parents first, and each is written
+    up to its children; what opens is closed where the next span is not
+    deeper.  So the number of jobs does not depend on the depth.
     """
-    placed = written(spans.join(tree(spans).select("span_id", "depth"), "span_id"))
-    deepest = placed.agg(F.max("depth")).first()[0]
-    below = None
-    for d in range(deepest if deepest is not None else -1, -1, -1):
-        level = placed.where(F.col("depth") == d)
-        kids = F.lit("[]")
-        if below is not None:
-            packed = below.groupBy("parent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_ts", "child", "trace"))), lambda x: x["trace"]), ",").alias("kids")).withColumnRenamed("parent_id", "span_id")
-            level, kids = level.join(packed, "span_id", "left"), F.concat(F.lit("["), F.coalesce("kids", F.lit("")), F.lit("]"))
-        own = F.to_json(F.struct("name", "start_ts", "end_ts", duration_ms(F.col("start_ts"), F.col("end_ts")).alias("duration_ms"), "attributes", "status"), {"ignoreNullFields": "false"})
-        body = F.concat(F.regexp_replace(own, r"\}\z", ""), F.lit(',"children":'), kids, F.lit("}"))
-        below = written(level.select("span_id", F.col("span_id").alias("child"), "parent_id", "start_ts", body.alias("trace")))
-    return below.select("span_id", "trace") if below is not None else spans.sparkSession.createDataFrame([], "span_id long, trace string")
+    own = F.to_json(F.struct("name", "start_ts", "end_ts", duration_ms(F.col("start_ts"), F.col("end_ts")).alias("duration_ms"), "attributes", "status"), {"ignoreNullFields": "false"})
+    body = F.concat(F.regexp_replace(own, r"\}\z", ""), F.lit(',"children":['))
+    placed = _placed(spans)
+    each = spans.withColumn("body", body).select("trace_id", "span_id", "body").join(placed, ["trace_id", "span_id"])
+    trees = each.groupBy("trace_id", "root_id").agg(F.array_sort(F.collect_list(F.struct("way", "depth", "body"))).alias("all"))
+
+    def put(x: Column, i: Column) -> Column:
+        after = F.get("all", i + 1)["depth"]
+        closing = F.repeat(F.lit("]}"), (x["depth"] - F.coalesce(after, F.lit(0)) + 1).cast("int"))
+        return F.concat(x["body"], F.when(after > x["depth"], F.lit("")).otherwise(F.concat(closing, F.when(after.isNotNull(), F.lit(",")).otherwise(F.lit("")))))
+
+    return trees.select("trace_id", F.col("root_id").alias("span_id"), F.array_join(F.transform("all", put), "").alias("trace"))
 
 
 def roll_up(spans: DataFrame, by: str = "name") -> DataFrame:
@@ -107,6 +115,22 @@ def from_stack(marks: DataFrame) -> DataFrame:
 
 
 def io_events(prompt: Column, completion: Column, chars: int = EVENT_CHARS) -> Column:
-    """The two events of a model call, each cut to a length."""
-    one = lambda name, key, value: F.struct(F.lit(name).alias("name"), F.map_from_arrays(F.array(F.lit(key)), F.array(F.left(value, F.lit(chars)))).alias("attributes"))
-    return F.array(one("llm.prompt", "prompt", prompt), one("llm.completion", "completion", completion))
+    """The two events of a model call, each cut to a length; each attribute has its event's name."""
+    one = lambda name, value: F.struct(F.lit(name).alias("name"), F.map_from_arrays(F.array(F.lit(name)), F.array(F.left(value, F.lit(chars)))).alias("attributes"))
+    return F.array(one("llm.prompt", prompt), one("llm.completion", completion))
+
+
+def with_resource(spans: DataFrame, service: str = SERVICE) -> DataFrame:
+    """Spans with the resource they are exported under, as a map with service.name."""
+    return spans.withColumn("resource", F.create_map(F.lit("service.name"), F.lit(service)))
+
+
+def export_lines(spans: DataFrame, service: str = SERVICE) -> DataFrame:
+    """value: a JSON line for each span in the shape of an OTLP export: resource, ids as hex, times in nanoseconds, attributes as pairs."""
+    nanos = lambda c: (F.unix_micros(c.cast("timestamp")) * 1000).cast("string")
+    attributes = F.transform(F.map_entries("attributes"), lambda e: F.struct(e["key"].alias("key"), F.struct(e["value"].alias("stringValue")).alias("value")))
+    span = F.struct(
+        F.lower(F.lpad(F.hex("trace_id"), 32, "0")).alias("traceId"), F.lower(F.lpad(F.hex("span_id"), 16, "0")).alias("spanId"), F.lower(F.lpad(F.hex("parent_id"), 16, "0")).alias("parentSpanId"), "name",
+        nanos(F.col("start_ts")).alias("startTimeUnixNano"), nanos(F.col("end_ts")).alias("endTimeUnixNano"), attributes.alias("attributes"), F.struct(F.col("status").alias("code")).alias("status"))
+    resource = F.struct(F.array(F.struct(F.lit("service.name").alias("key"), F.struct(F.lit(service).alias("stringValue")).alias("value"))).alias("attributes"))
+    return spans.select(F.to_json(F.struct(resource.alias("resource"), span.alias("span"))).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,44 @@ def temperature_rule(requested: Column, current: Column) -> Column:
 
 def half_degrees(value: Column) -> Column:
     return F.round(value * 2) / 2
+
+
+GARAGE_MINUTES, LOCK_MINUTES, NIGHT_HOUR = 10, 5, 22
+
+
+def leaving_check(leaving: DataFrame, doors: DataFrame) -> DataFrame:
+    """(seq, open_doors, alert): for each row (seq) on which the user leaves, the doors that are open then and whether to warn.
+
+    doors is the snapshot (door, status); it has a row for each device.
+    """
+    open_ = doors.where("status = 'open'").agg(F.array_sort(F.collect_list("door")).alias("open_doors"))
+    return leaving.select("seq").crossJoin(open_).withColumn("alert", F.size("open_doors") > 0)  # one row
+
+
+def left_open(log: DataFrame, minutes: int) -> DataFrame:
+    """(door, opened_ts, closes_ts, closed_by): each time that a door opens, when it is closed at the latest.
+
+    log: door, status, ts, seq of accepted commands.  A door closes by itself
+    `minutes` after it was opened unless a command closes it before; opening an
+    open door starts no new time.
+    """
+    order = Window.partitionBy("door").orderBy("ts", "seq")
+    placed = log.withColumn("before", F.lag("status").over(order)).where("before is null or before <> status")
+    turns = placed.withColumn("next_ts", F.lead("ts").over(order)).where("status = 'open'")
+    due = F.col("ts") + F.make_dt_interval(mins=F.lit(minutes))
+    by_command = F.col("next_ts").isNotNull() & (F.col("next_ts") < due)
+    return turns.select("door", F.col("ts").alias("opened_ts"), F.when(by_command, F.col("next_ts")).otherwise(due).alias("closes_ts"), F.when(by_command, "command").otherwise("timer").alias("closed_by"))
+
+
+def garage_closings(log: DataFrame, minutes: int = GARAGE_MINUTES) -> DataFrame:
+    return left_open(log.where("door = 'garage'"), minutes)
+
+
+def lock_closings(log: DataFrame, minutes: int = LOCK_MINUTES) -> DataFrame:
+    return left_open(log.where("door <> 'garage'"), minutes)
+
+
+def night_garage(log: DataFrame, hour: int = NIGHT_HOUR) -> DataFrame:
+    """(day, opened_ts): the days on which the garage is open at `hour` o'clock by its last command of the day before then."""
+    before = log.where((F.col("door") == "garage") & (F.hour("ts") < hour)).groupBy(F.to_date("ts").alias("day")).agg(F.max_by(F.struct("status", "ts"), F.struct("ts", "seq")).alias("last"))
+    return before.where("last.status = 'open'").select("day", F.col("last.ts").alias("opened_ts"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from braidwork.functions import payload
 from braidwork.functions.text import default_if_empty, preview, render
-from braidwork.operators import agent, catalog, chunking, memory, retrieval, safety, spans, state
+from braidwork.operators import agent, catalog, chunking, memory, retrieval, safety, spans, state, telemetry
 from braidwork.session import table
 from braidwork.sources import files
 from braidwork.streaming import twins
@@ -31,6 +31,8 @@ def query(sql: str | None):
 
 # ---- retrieval
 
+#: The queries of every search.
+ASKED = "vec_id % 100 = 0"
 DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
 
@@ -60,13 +62,14 @@ SELECT vec_id, round(s, 4) AS score, rk FROM (SELECT e.vec_id, list_dot_product(
  row_number() OVER (ORDER BY list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) DESC, e.vec_id) AS rk FROM embeddings e, q) WHERE rk <= 5""")
 def topk_single(spark, d):
     e = table(spark, d, "embeddings")
-    vector = e.where("vec_id = 0").first()["embedding"]
-    return retrieval.top_k(e, F.lit(vector).cast("array<float>"), 5).select("vec_id", F.round("score", 4).alias("score"), "rk")
+    asked = e.where("vec_id = 0").first()
+    vector = F.lit(asked["embedding"] if asked else None).cast("array<float>")  # without the query nothing is found
+    return retrieval.top_k(e, vector, 5).select("vec_id", F.round("score", 4).alias("score"), "rk")
 
 
-@query(_rounded(_many_sql(5, "vec_id < 20")))
+@query(_rounded(_many_sql(5, ASKED)))
 def topk_per_query(spark, d):
-    return _shown(_top(table(spark, d, "embeddings"), "vec_id < 20", 5))
+    return _shown(_top(table(spark, d, "embeddings"), ASKED, 5))
 
 
 SCALED_SQL = "(SELECT vec_id, [CAST(CAST(x AS DOUBLE) * (1 + vec_id % 3) AS FLOAT) for x in embedding] AS embedding, label FROM embeddings)"
@@ -78,19 +81,19 @@ def _scaled(e: DataFrame) -> DataFrame:
     return e.withColumn("embedding", F.transform("embedding", lambda x: (x.cast("double") * (1 + F.col("vec_id") % 3)).cast("float")))
 
 
-@query(_rounded(_many_sql(3, "vec_id < 10", score=COSINE, rel=SCALED_SQL)))
+@query(_rounded(_many_sql(3, ASKED, score=COSINE, rel=SCALED_SQL)))
 def topk_cosine_eps(spark, d):
-    return _shown(_top(_scaled(table(spark, d, "embeddings")), "vec_id < 10", 3, "cosine"))
+    return _shown(_top(_scaled(table(spark, d, "embeddings")), ASKED, 3, "cosine"))
 
 
-@query(_rounded(_many_sql(10_000, "vec_id < 2")))
+@query(_rounded(_many_sql(10_000, ASKED)))
 def topk_large_k(spark, d):
-    return _shown(_top(table(spark, d, "embeddings"), "vec_id < 2", 10_000))
+    return _shown(_top(table(spark, d, "embeddings"), ASKED, 10_000))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS qid, CAST(0 AS BIGINT) AS vec_id, CAST(0 AS DOUBLE) AS score, CAST(0 AS BIGINT) AS rk WHERE false")
 def topk_empty(spark, d):
-    return _shown(_top(table(spark, d, "embeddings"), "vec_id < 2", 0))
+    return _shown(_top(table(spark, d, "embeddings"), ASKED, 0))
 
 
 @query("""SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings""")
@@ -114,7 +117,7 @@ def registry_unique(spark, d):
     return catalog.register_first(_parts(spark, d)).select("name", "ord")
 
 
-@query("""SELECT p_name AS name, p_partkey AS ord, 'Tool ''' || p_name || ''' is already registered' AS error FROM part
+@query("""SELECT p_name AS name, p_partkey AS ord, 'Tool with name ''' || p_name || ''' already exists.' AS error FROM part
 QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) > 1""")
 def registry_rejected(spark, d):
     return catalog.register(_parts(spark, d))[1].select("name", "ord", "error")
@@ -233,9 +236,12 @@ def memory_history(spark, d):
     return memory.history(table(spark, d, "conversations"))
 
 
-@query("""SELECT conv_id, turn, left(string_agg(role || ': ' || text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 200) AS audit FROM conversations""")
+MESSAGE_SQL = """'{"role":' || CAST(to_json(role) AS VARCHAR) || ',"content":' || CAST(to_json(text) AS VARCHAR) || '}'"""
+
+
+@query(f"""SELECT conv_id, turn, left('[' || string_agg({MESSAGE_SQL}, ',') OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) || ']', 4096) AS audit FROM conversations""")
 def audit_last3(spark, d):
-    return memory.audit_log(table(spark, d, "conversations"), chars=200)
+    return memory.audit_log(table(spark, d, "conversations"))
 
 
 TYPED_SQL = "SELECT conv_id, turn, CASE WHEN turn = 3 AND conv_id % 5 = 0 THEN ' QUIT ' WHEN turn = 1 AND conv_id % 7 = 0 THEN '   ' ELSE '  ' || text || ' ' END AS text FROM conversations"
@@ -250,14 +256,14 @@ def input_filter(spark, d):
 
 
 PROMPT_SQL = f"""SELECT qid, string_agg('[v' || r.vec_id || ' / ' || label || ']' || chr(10) || 'label ' || label, chr(10) || '---' || chr(10) ORDER BY rk) AS rag_context
-FROM ({_many_sql(3, "vec_id < 5")}) r JOIN embeddings USING (vec_id) GROUP BY qid"""
+FROM ({_many_sql(3, ASKED)}) r JOIN embeddings USING (vec_id) GROUP BY qid"""
 
 
 def _prompt(spark, d):
     e = table(spark, d, "embeddings")
     label = F.col("label").cast("string")
     payload_ = e.select("vec_id", F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("source"), label.alias("heading"), F.concat(F.lit("label "), label).alias("text"))
-    return memory.prompt_context(_top(e, "vec_id < 5", 3).join(payload_, "vec_id"))
+    return memory.prompt_context(_top(e, ASKED, 3).join(payload_, "vec_id"))
 
 
 @query(PROMPT_SQL)
@@ -349,16 +355,23 @@ def state_reads(spark, d):
     return state.read(asked, _house(spark, d)[0][0], "room", "room", tuple(r[0] for r in state.ROOMS)).select("room", "error", "current", "target")
 
 
+@query(f"""SELECT q.door, CASE WHEN r.door IS NULL THEN 'Unknown door ''' || q.door || '''. Valid doors: [''front_door'', ''back_door'', ''garage'']' END AS error, r.status
+FROM (VALUES ('garage'), ('cellar'), ('front_door')) AS q(door) LEFT JOIN ({DOORS_SQL}) r USING (door)""")
+def state_door_reads(spark, d):
+    asked = spark.createDataFrame([("garage",), ("cellar",), ("front_door",)], "door string")
+    return state.read(asked, _house(spark, d)[1][0], "door", "door", tuple(x[0] for x in state.DOORS)).select("door", "error", "status")
+
+
 # ---- calls and runs
 
-CANDIDATES_SQL = _many_sql(5, "vec_id < 10")
-REQUESTS_SQL = f"SELECT vec_id AS qid, (vec_id * 7) % 500 AS tool FROM embeddings WHERE vec_id < 10 UNION SELECT qid, vec_id FROM ({CANDIDATES_SQL}) WHERE rk = 2"
+CANDIDATES_SQL = _many_sql(5, ASKED)
+REQUESTS_SQL = f"SELECT vec_id AS qid, (vec_id * 7) % 500 AS tool FROM embeddings WHERE {ASKED} UNION SELECT qid, vec_id FROM ({CANDIDATES_SQL}) WHERE rk = 2"
 
 
 def _resolved(spark, d):
     e = table(spark, d, "embeddings")
-    found = _top(e, "vec_id < 10", 5)
-    asked = e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), ((F.col("vec_id") * 7) % 500).alias("tool")).union(found.where("rk = 2").select("qid", "vec_id")).distinct()
+    found = _top(e, ASKED, 5)
+    asked = e.where(ASKED).select(F.col("vec_id").alias("qid"), ((F.col("vec_id") * 7) % 500).alias("tool")).union(found.where("rk = 2").select("qid", "vec_id")).distinct()
     return agent.resolve_calls(asked, found.select("qid", F.col("vec_id").alias("tool")), ["qid", "tool"])
 
 
@@ -367,7 +380,7 @@ def tool_resolution(spark, d):
     return _resolved(spark, d).select("qid", "tool", "is_error")
 
 
-@query(f"SELECT r.qid, r.tool, 'Tool ''' || r.tool || ''' not found in registry' AS error FROM ({REQUESTS_SQL}) r WHERE NOT EXISTS (SELECT 1 FROM ({CANDIDATES_SQL}) c WHERE r.qid = c.qid AND r.tool = c.vec_id)")
+@query(f"SELECT r.qid, r.tool, 'Tool ''' || r.tool || ''' not found in registry.' AS error FROM ({REQUESTS_SQL}) r WHERE NOT EXISTS (SELECT 1 FROM ({CANDIDATES_SQL}) c WHERE r.qid = c.qid AND r.tool = c.vec_id)")
 def tool_missing(spark, d):
     return _resolved(spark, d).where("is_error").select("qid", "tool", "error")
 
@@ -455,22 +468,25 @@ def final_answers(spark, d):
 
 
 def _spans(spark, d):
+    """Three traces that use the same span ids, each a binary tree."""
     e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     end = F.timestamp_micros((F.unix_micros("ts") + F.round(F.col("value") * 1000)).cast("long"))
-    return e.select(F.lit(0).cast("long").alias("trace_id"), F.col("event_id").alias("span_id"), F.when(F.col("event_id") > 0, F.floor((F.col("event_id") - 1) / 2).cast("long")).alias("parent_id"), F.col("event_type").alias("name"),
+    place = F.floor(F.col("event_id") / 3).cast("long")
+    return e.select((F.col("event_id") % 3).alias("trace_id"), place.alias("span_id"), F.when(place > 0, F.floor((place - 1) / 2).cast("long")).alias("parent_id"), F.col("event_type").alias("name"),
                     F.col("ts").alias("start_ts"), F.when(F.col("event_type") != "signup", end).alias("end_ts"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attributes"), F.when(F.col("event_type") == "error", "ERROR").otherwise("OK").alias("status"))
 
 
 MS_SQL = "CASE WHEN event_type <> 'signup' THEN ((CAST(round(value * 1000) AS BIGINT) + 5) // 10) / 100.0 END"
-TREE_SQL = """WITH RECURSIVE s AS (SELECT event_id, (event_id - 1) // 2 AS parent FROM events),
-t AS (SELECT event_id AS span_id, CAST(0 AS BIGINT) AS depth, event_id AS root_id, CAST(event_id AS VARCHAR) AS path FROM s WHERE event_id = 0 OR parent NOT IN (SELECT event_id FROM s)
- UNION ALL SELECT s.event_id, t.depth + 1, t.root_id, t.path || '/' || s.event_id FROM s JOIN t ON s.parent = t.span_id WHERE s.event_id > 0)
-SELECT span_id, depth, root_id, path FROM t"""
+PLACED_SQL = "SELECT event_id % 3 AS trace_id, event_id // 3 AS span_id, CASE WHEN event_id >= 3 THEN (event_id // 3 - 1) // 2 END AS parent_id, * FROM events"
+TREE_SQL = f"""WITH RECURSIVE s AS ({PLACED_SQL}),
+t AS (SELECT trace_id, span_id, CAST(0 AS BIGINT) AS depth, span_id AS root_id, CAST(span_id AS VARCHAR) AS path FROM s WHERE parent_id IS NULL
+ UNION ALL SELECT s.trace_id, s.span_id, t.depth + 1, t.root_id, t.path || '/' || s.span_id FROM s JOIN t ON s.trace_id = t.trace_id AND s.parent_id = t.span_id)
+SELECT trace_id, span_id, depth, root_id, path FROM t"""
 
 
-@query(f"SELECT event_id AS span_id, CAST({MS_SQL} AS DOUBLE) AS duration_ms FROM events")
+@query(f"SELECT event_id % 3 AS trace_id, event_id // 3 AS span_id, CAST({MS_SQL} AS DOUBLE) AS duration_ms FROM events")
 def span_duration(spark, d):
-    return _spans(spark, d).select("span_id", spans.duration_ms(F.col("start_ts"), F.col("end_ts")).alias("duration_ms"))
+    return _spans(spark, d).select("trace_id", "span_id", spans.duration_ms(F.col("start_ts"), F.col("end_ts")).alias("duration_ms"))
 
 
 @query(f"""SELECT event_type AS name, count(*) AS calls, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS error_rate, round(quantile_cont(ms, 0.5), 4) AS p50, round(quantile_cont(ms, 0.95), 4) AS p95,
@@ -484,9 +500,53 @@ def span_tree(spark, d):
     return spans.tree(_spans(spark, d))
 
 
-@query("""SELECT (event_id - 1) // 2 AS parent_id, count(*) AS n_children, string_agg(event_type, ',' ORDER BY ts, event_id) AS children FROM events WHERE event_id > 0 GROUP BY 1""")
+@query(f"""SELECT trace_id, parent_id, count(*) AS n_children, string_agg(event_type, ',' ORDER BY ts, span_id) AS children FROM ({PLACED_SQL}) WHERE parent_id IS NOT NULL GROUP BY trace_id, parent_id""")
 def span_children(spark, d):
-    return spans.children(_spans(spark, d)).select("parent_id", "n_children", F.array_join("children", ",").alias("children"))
+    return spans.children(_spans(spark, d)).select("trace_id", "parent_id", "n_children", F.array_join("children", ",").alias("children"))
+
+
+RUN_SQL = """WITH s AS (SELECT *, ts AS t FROM (SELECT user_id AS run_id, ts, event_id, value, props, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS iteration FROM events) WHERE iteration < 10),
+r AS (SELECT run_id, min(t) AS first_ts, max(t) AS last_ts, count(*) AS n, bool_or(event_type = 'signup') AS done FROM s GROUP BY run_id),
+x AS (SELECT run_id AS trace_id, 0 AS span_id, NULL AS parent_id, 'orchestrator.run' AS name, first_ts AS start_ts, last_ts AS end_ts, 'iterations=' || n || ';query=q' || run_id AS attributes, CASE WHEN done OR n < 10 THEN 'OK' ELSE 'ERROR' END AS status FROM r
+ UNION ALL SELECT run_id, (iteration + 1) * 10000, 0, 'iteration.' || iteration, t, t, '', 'OK' FROM s
+ UNION ALL SELECT run_id, (iteration + 1) * 10000 + 1, (iteration + 1) * 10000, 'llm.complete', t, t, 'stop_reason=' || CASE WHEN event_type = 'signup' THEN 'end_turn' ELSE 'tool_use' END, 'OK' FROM s
+ UNION ALL SELECT run_id, (iteration + 1) * 10000 + 2, (iteration + 1) * 10000, 'tool.' || event_type, t, t, 'arguments=' || props || ';result_preview=' || left(repeat(props, 40), 200), 'OK' FROM s WHERE event_type <> 'signup')
+SELECT CAST(trace_id AS BIGINT) AS trace_id, CAST(span_id AS BIGINT) AS span_id, CAST(parent_id AS BIGINT) AS parent_id, name, attributes, status, CAST(epoch_us(CAST(start_ts AS TIMESTAMP)) AS BIGINT) AS start_us, CAST(epoch_us(CAST(end_ts AS TIMESTAMP)) AS BIGINT) AS end_us FROM x"""
+
+
+def _flat(made: DataFrame) -> DataFrame:
+    """Spans with their attributes as text, in order of their keys."""
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return made.select("trace_id", "span_id", "parent_id", "name", F.array_join(pairs, ";").alias("attributes"), "status", F.unix_micros("start_ts").alias("start_us"), F.unix_micros("end_ts").alias("end_us"))
+
+
+@query(RUN_SQL)
+def run_spans(spark, d):
+    steps = agent.cap_rounds(_events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("run_id", F.col("user_id")), "run_id", F.struct("ts", "event_id"))
+    rounds = steps.select("run_id", "iteration", F.when(F.col("event_type") == "signup", "end_turn").otherwise("tool_use").alias("stop_reason"), *(F.col("ts").alias(x) for x in ("start_ts", "end_ts", "llm_end_ts")))
+    calls = steps.where("event_type <> 'signup'").select("run_id", "iteration", F.lit(0).alias("call_no"), F.col("event_type").alias("tool_name"), F.col("props").alias("arguments"), F.repeat("props", F.lit(40)).alias("result"), F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts"))
+    runs = steps.groupBy("run_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("iterations"), F.max(F.col("event_type") == "signup").alias("done"))
+    runs = runs.select("run_id", F.concat(F.lit("q"), F.col("run_id").cast("string")).alias("query"), F.when(F.col("done") | (F.col("iterations") < 10), "completed").otherwise("max_iterations").alias("status"), "iterations", "start_ts", "end_ts")
+    return _flat(telemetry.run_spans(runs, rounds, calls))
+
+
+MEMORY_SPANS_SQL = """WITH m AS (SELECT conv_id, turn, role, text, count(*) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS n FROM conversations)
+SELECT conv_id AS trace_id, turn * 2 AS span_id, CAST(NULL AS BIGINT) AS parent_id, 'memory.add_message' AS name, 'memory.content_length=' || length(text) || ';memory.role=' || role || ';memory.total_messages=' || n AS attributes, 'OK' AS status FROM m
+UNION ALL SELECT conv_id, turn * 2 + 1, NULL, 'memory.get_context_window', 'memory.total_messages=' || n || ';memory.window_size=' || least(n, 4), 'OK' FROM m"""
+
+
+@query(MEMORY_SPANS_SQL)
+def memory_spans(spark, d):
+    counted = memory.running_count(table(spark, d, "conversations")).withColumn("ts", F.timestamp_seconds(F.lit(0)))
+    return _flat(telemetry.memory_spans(counted, 4)).drop("start_us", "end_us")
+
+
+@query("""SELECT q.run_id, q.call_id, q.tool_name, r.result, r.is_error FROM (SELECT user_id AS run_id, CAST(event_id AS VARCHAR) AS call_id, event_type AS tool_name FROM events) q
+LEFT JOIN (SELECT user_id AS run_id, CAST(event_id AS VARCHAR) AS call_id, props AS result, event_type = 'error' AS is_error FROM events WHERE event_id % 3 > 0) r USING (run_id, call_id)""")
+def call_results(spark, d):
+    e = _events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").cast("string").alias("call_id"), F.col("event_type").alias("tool_name"), "props", "event_id")
+    answers = e.where("event_id % 3 > 0").select("run_id", "call_id", F.col("props").alias("result"), (F.col("tool_name") == "error").alias("is_error"))
+    return agent.correlate(e.select("run_id", "call_id", "tool_name"), answers)
 
 
 # ---- streams

@@ -36,7 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):  # local-cluster has executors of its own
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = f"file://{tempfile.mkdtemp(prefix='braidwork-')}"
     spark.conf.set("spark.checkpoint.dir", own)

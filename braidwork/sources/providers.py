@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,6 +54,54 @@ def post_json(endpoint: str, arguments: dict, timeout: float = TIMEOUT):
         return body
 
 
+class Retrying:
+    """A provider that tries again, spares one that is down, and keeps to a rate; one of its own in each worker.
+
+    Errors in `again` (timeouts, and HTTP 5xx and 429) are tried `attempts`
+    times, after `pause` seconds doubled each time and a random share of it.
+    After `trip` failures in a row an endpoint is left alone for `rest`
+    seconds: its calls fail at once.  `rate` is the most calls a second to an
+    endpoint from this worker; a cluster's rate is that times its workers.
+    """
+
+    def __init__(self, provider: Callable[[str, dict], object], attempts: int = 3, pause: float = 0.2, trip: int = 5, rest: float = 30.0, rate: float | None = None, clock=time.monotonic, sleep=time.sleep):
+        self.provider, self.attempts, self.pause, self.trip, self.rest, self.rate, self.clock, self.sleep = provider, attempts, pause, trip, rest, rate, clock, sleep
+        self.failures: dict[str, int] = {}
+        self.until: dict[str, float] = {}
+        self.free: dict[str, float] = {}
+
+    @staticmethod
+    def again(error: Exception) -> bool:
+        code = getattr(error, "code", None)
+        return code == 429 or code >= 500 if isinstance(code, int) else isinstance(error, OSError)
+
+    def __call__(self, endpoint: str, arguments: dict) -> object:
+        if self.clock() < self.until.get(endpoint, 0):
+            raise RuntimeError("left alone after failures")
+        for n in range(self.attempts):
+            if self.rate:
+                now = self.clock()
+                at = max(now, self.free.get(endpoint, 0))
+                self.free[endpoint] = at + 1 / self.rate
+                if at > now:
+                    self.sleep(at - now)
+            try:
+                got = self.provider(endpoint, arguments)
+            except Exception as e:
+                self.failures[endpoint] = self.failures.get(endpoint, 0) + 1
+                if self.failures[endpoint] >= self.trip:
+                    self.until[endpoint] = self.clock() + self.rest
+                    self.failures[endpoint] = 0
+                    raise
+                if n + 1 == self.attempts or not self.again(e):
+                    raise
+                self.sleep(self.pause * 2**n * (1 + random.random()))
+            else:
+                self.failures[endpoint] = 0
+                return got
+        raise ValueError("attempts is at least 1")
+
+
 def execute_calls(calls: DataFrame, provider: Callable[[str, dict], object] = post_json) -> DataFrame:
     """calls (tool_name, endpoint_url, arguments as JSON, ...) with `result` and `failed`; errors become values.
 

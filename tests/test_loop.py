@@ -1,8 +1,8 @@
 from pyspark.sql import functions as F
 
 from braidwork.functions.payload import BLOCK
-from braidwork.functions.registry import register_functions, register_tool, typed_arguments
-from braidwork.operators import loop
+from braidwork.functions.registry import register_functions, register_snapshot, register_tool, typed_arguments
+from braidwork.operators import loop, memory, state
 from braidwork.sources import providers
 
 
@@ -32,19 +32,67 @@ def test_runs_end_when_they_answer(spark):
     }
     runs = spark.createDataFrame([(i, [("user", f"q{i}")] if i < 4 else None) for i in (1, 2, 3, 4)], "run_id long, messages array<struct<role:string,content:string>>")
     tools = spark.createDataFrame([(i, "a", "e") for i in (1, 2, 3, 4)], "run_id long, tool_name string, endpoint_url string")
-    results, calls = loop.run_agents(runs, tools, scripted(script), execute, cap=3)
+    results, calls, rounds = loop.run_agents(runs, tools, scripted(script), execute, cap=3)
+    assert sorted((r.run_id, r.iteration, r.stop_reason) for r in rounds.collect() if r.run_id < 3) == [(1, 0, "end_turn"), (2, 0, "tool_use"), (2, 1, "end_turn")]
     got = {r.run_id: (r.status, r.iterations, r.response) for r in results.collect()}
     assert got == {1: ("completed", 1, "hello"), 2: ("completed", 2, "done"), 3: ("max_iterations", 3, loop.GAVE_UP), 4: ("completed", 2, "")}
     (two,) = results.where("run_id = 2").collect()
-    assert [tuple(m) for m in two.messages] == [("user", "q2"), ("assistant", "let me see"), ("tool", "e:1"), ("tool", "Error: tool 'zzz' not found in registry"), ("tool", "e:3")]
+    assert [(m.role, m.content) for m in two.messages] == [("user", "q2"), ("assistant", "let me see"), ("user", "e:1\nTool 'zzz' not found in registry.\ne:3"), ("assistant", "done")]
+    assert [(b.type, b.id) for b in two.messages[1].blocks] == [("text", None), ("tool_use", "a"), ("tool_use", "zzz"), ("tool_use", "a")]
+    assert [(b.type, b.id, b.text, b.is_error) for b in two.messages[2].blocks] == [("tool_result", "a", "e:1", None), ("tool_result", "zzz", "Tool 'zzz' not found in registry.", True), ("tool_result", "a", "e:3", None)]
     assert [(r.call_no, r.result, r.failed) for r in calls.where("run_id = 2").orderBy("call_no").collect()] == [(0, "e:1", False), (2, "e:3", False)]
     assert [r.failed for r in calls.where("run_id = 4").collect()] == [True]
 
 
 def test_no_runs(spark):
     runs = spark.createDataFrame([], "run_id long, messages array<struct<role:string,content:string>>")
-    results, calls = loop.run_agents(runs, spark.createDataFrame([], "run_id long, tool_name string, endpoint_url string"), scripted({}), execute)
-    assert results.count() == 0 and calls.count() == 0
+    for df in loop.run_agents(runs, spark.createDataFrame([], "run_id long, tool_name string, endpoint_url string"), scripted({}), execute):
+        assert df.count() == 0
+
+
+def test_two_turns(spark):
+    """What a run ends with is where the next turn goes on."""
+    use = ("tool_use", None, "a", '{"x": 1}')
+    tools = spark.createDataFrame([(1, "a", "e")], "run_id long, tool_name string, endpoint_url string")
+    first = spark.createDataFrame([(1, [("user", "weather?")])], "run_id long, messages array<struct<role:string,content:string>>")
+    one = loop.run_agents(first, tools, scripted({(1, 0): ("tool_use", [use]), (1, 1): ("end_turn", [("text", "sunny", None, None)])}), execute)
+    asked = spark.createDataFrame([(1, "and tomorrow?"), (2, "hello")], "run_id long, text string")
+    turn = memory.next_turn(one.results, asked)
+    assert {r.run_id: [(m.role, m.content) for m in r.messages] for r in turn.collect()} == {
+        1: [("user", "weather?"), ("assistant", ""), ("user", "e:1"), ("assistant", "sunny"), ("user", "and tomorrow?")], 2: [("user", "hello")]}
+    two = loop.run_agents(turn, tools, scripted({(1, 0): ("end_turn", [("text", "rain", None, None)]), (2, 0): ("end_turn", [])}), execute)
+    got = {r.run_id: r for r in two.results.collect()}
+    assert len(got[1].messages) == 6 and got[1].messages[-1].content == "rain" and got[1].messages[1].blocks[0].name == "a" and got[2].iterations == 1
+
+
+def test_answers_by_id(spark):
+    use = lambda name, i: ("tool_use", None, name, '{"x": %d}' % i)
+    tools = spark.createDataFrame([(1, "a", "e")], "run_id long, tool_name string, endpoint_url string")
+    runs = spark.createDataFrame([(1, None)], "run_id long, messages array<struct<role:string,content:string>>")
+    done = loop.run_agents(runs, tools, scripted({(1, 0): ("tool_use", [use("a", 1), use("b", 2)]), (1, 1): ("end_turn", [])}), execute)
+    assert sorted((r.call_id, r.tool_name, r.result, r.is_error) for r in loop.answered_calls(done.results).collect()) == [("a", "a", "e:1", False), ("b", "b", "Tool 'b' not found in registry.", True)]
+
+
+def test_tools_found_on_the_way(spark):
+    """A search for tools brings candidates for the rounds after it."""
+    use = lambda name, a: ("tool_use", None, name, a)
+    script = {(1, 0): ("tool_use", [use("notify", '{"x": 1}'), use("search_tools", '{"query": "notify"}')]), (1, 1): ("tool_use", [use("notify", '{"x": 2}')]), (1, 2): ("end_turn", [])}
+    runs = spark.createDataFrame([(1, None)], "run_id long, messages array<struct<role:string,content:string>>")
+    none = spark.createDataFrame([], "run_id long, tool_name string, endpoint_url string")
+    catalogue = spark.createDataFrame([("notify", "n"), ("other", "o")], "tool_name string, endpoint_url string")
+
+    def retrieve(searches):
+        return searches.join(catalogue, F.get_json_object("arguments", "$.query") == F.col("tool_name"))
+
+    done = loop.run_agents(runs, none, scripted(script), execute, retrieve=retrieve)
+    assert [(r.iteration, r.tool_name, r.result) for r in done.calls.collect()] == [(1, "notify", "n:2")]
+    assert done.results.first().messages[1].blocks[1].text == '["notify"]'
+
+
+def test_state_as_a_table_function(spark):
+    register_snapshot(spark, state.seed_rooms(spark), state.seed_doors(spark))
+    got = {(r.category, r.device): (r.target, r.status) for r in spark.sql("SELECT * FROM house_snapshot()").collect()}
+    assert got[("temperature", "living_room")] == (22.0, None) and got[("doors", "garage")] == (None, "open") and len(got) == 5
 
 
 def test_registered_functions(spark):

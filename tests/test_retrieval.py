@@ -24,8 +24,8 @@ def test_one_and_many_agree_with_numpy(spark, metric):
     want = sorted(range(200), key=lambda i: (-round(scores[i], 9), i))[:7]
     one = m.top_k(df, F.lit(x[10].tolist()).cast("array<float>"), 7, metric=metric)
     assert [r.vec_id for r in one.orderBy("rk").collect()] == want
-    for block in (2, 2048):
-        many = m.top_k_many(df, df.where("vec_id in (10, 3, 4)").select(F.col("vec_id").alias("qid"), "embedding"), 7, metric=metric, block=block)
+    for block in (2 * 8 * 8, 1 << 20):
+        many = m.top_k_many(df, df.where("vec_id in (10, 3, 4)").select(F.col("vec_id").alias("qid"), "embedding"), 7, metric=metric, query_bytes=block)
         assert [r.vec_id for r in many.where("qid = 10").orderBy("rk").collect()] == want
         assert many.count() == 21
 
@@ -51,3 +51,52 @@ def test_single_query_plan_takes_ordered(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     plan = m.top_k(df, F.lit([1.0] * 64), 5)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize(("rows", "queries", "k"), [(50, 7, 3), (3000, 600, 5), (5000, 3, 900)])
+def test_many_tiles_agree_with_a_plain_sort(monkeypatch, rows, queries, k):
+    rng = np.random.default_rng(k)
+    x, q = rng.integers(-2, 3, (rows, 4)).astype(float), rng.integers(-2, 3, (queries, 4)).astype(float)  # many ties
+    best = m.Best(queries, k)
+    best.room = 2 * queries * k
+    for lo in range(0, rows, 400):
+        s = x[lo:lo + 400] @ q.T
+        i, j = np.nonzero(s >= best.least)
+        best.add(j, np.arange(rows)[lo:lo + 400][i], s[i, j])
+    got_q, ids, _ = best.prune()
+    for n in range(0, queries, max(1, queries // 7)):
+        s = x @ q[n]
+        assert ids[got_q == n].tolist() == sorted(range(rows), key=lambda i: (-s[i], i))[:k]
+
+
+def test_inverted_file(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((12, 16)) * 3
+    x = (centers[rng.integers(0, 12, 3000)] + rng.standard_normal((3000, 16))).astype(np.float32)
+    df = frame(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    centroids = m.learn_lists(df, 24, sample=1000)
+    index = m.assign_lists(df, centroids)
+    asked = df.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    truth = m.top_k_many(df, asked, 5, metric="cosine")
+    few = m.recall_at_k(m.top_k_many(index, asked, 5, metric="cosine", centroids=centroids, probes=6), truth).first()
+    assert few.queries == 30 and few.recall >= 0.9
+    every = m.top_k_many(index, asked, 5, metric="cosine", centroids=centroids, probes=24)
+    assert sorted(map(tuple, every.select("qid", "vec_id", "rk").collect())) == sorted(map(tuple, truth.select("qid", "vec_id", "rk").collect()))
+    assert index.count() == 3000
+    with pytest.raises(ValueError):
+        m.learn_lists(df.limit(0), 4)
+
+
+def test_words_beyond_literals_are_joined(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "A cat, a dog"), (2, "dog dog"), (3, None), (4, "")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "dog"), (2, "cat mouse")], "qid long, text string")
+    want = [tuple(r) for r in m.bm25(docs, asked, 5).orderBy("qid", "rk").collect()]
+    monkeypatch.setattr(m, "LITERAL_TERMS", 1)
+    assert [tuple(r) for r in m.bm25(docs, asked, 5).orderBy("qid", "rk").collect()] == want
+    assert [(r[0], r[1]) for r in want] == [(1, 2), (1, 1), (2, 1)]
+
+
+def test_reranking_takes_the_first(spark):
+    found = spark.createDataFrame([(1, i, float(-i), i + 1) for i in range(9)], "qid long, vec_id long, score double, rk long")
+    got = m.rerank(found, lambda df: df.withColumn("score", F.col("vec_id") * 1.0), 2, first=4)
+    assert [(r.vec_id, r.rk) for r in got.orderBy("rk").collect()] == [(3, 1), (2, 2)]

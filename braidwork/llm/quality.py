@@ -1,16 +1,17 @@
 """Quality scores from compression with dictionaries of good and bad text.
 
 Two zstandard dictionaries are trained, on texts labelled good and on texts
-labelled bad.  Text compresses better under the dictionary of its own kind, so
-the difference of the two compressed sizes per byte separates them.  A
-logistic curve over that difference, the plain compression ratio and the
-length, fitted on labelled texts that the dictionaries have not seen, turns it
-into a probability.
+labelled bad.  A text is compressed with either, BLOCK bytes at a time, so
+that a long text is held against the dictionaries to its end rather than
+against its own beginning.  Text compresses better under the dictionary of
+its own kind: the difference of the two compressed sizes, per byte of text, is
+the evidence, and a logistic curve over it, fitted on labelled texts that the
+dictionaries have not seen, turns it into a probability.
 
 Fitting uses a bounded sample, SAMPLE labelled texts of either kind for the
 dictionaries and as many for the curve, the ones with the least hash of their
 id.  The dictionaries, of a fixed size, learn from SAMPLE_BYTES of a longer
-text, in blocks spread from its start to its end.  The curve's features are
+text, in blocks spread from its start to its end.  The curve's differences are
 computed from whole texts in the executors, so that it is fitted on what it is
 applied to; only they reach the driver.  Scoring reads every text whole, in one
 narrow pass.
@@ -29,37 +30,39 @@ from pyspark.sql import functions as F
 from braidwork.llm.scratch import cut, small_batches
 from braidwork.llm.words import slices
 
-SAMPLE, SAMPLE_BYTES, BLOCKS, DICTIONARY_BYTES, LEVEL = 1500, 8192, 8, 64 << 10, 3
+SAMPLE, SAMPLE_BYTES, BLOCKS, DICTIONARY_BYTES, BLOCK, LEVEL = 1500, 8192, 8, 64 << 10, 1024, 3
 THRESHOLD = 0.3
 
 
 class Compressors:
     def __init__(self, good: bytes, bad: bytes):
-        make = lambda d: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.good, self.bad, self.plain = make(good), make(bad), make(b"")
+        self.good, self.bad = map(self._one, (good, bad))
 
-    def features(self, text: bytes) -> tuple[float, ...]:
-        """Normalised difference, its share for the text's own bytes, plain ratio, log length."""
-        n = len(text) + 16.0
-        g, b, p = (len(c.compress(text)) for c in (self.good, self.bad, self.plain))
-        return (b - g) / n, (b - g) / (b + g), p / n, np.log(n)
+    @staticmethod
+    def _one(data: bytes) -> zstandard.ZstdCompressor:
+        dictionary = None
+        if data:
+            dictionary = zstandard.ZstdCompressionDict(data)
+            dictionary.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def difference(self, text: bytes) -> float:
+        """How many bytes fewer the good dictionary takes than the bad one, for each byte of text."""
+        more = 0
+        for at in range(0, len(text), BLOCK):
+            block = text[at:at + BLOCK]
+            more += len(self.bad.compress(block)) - len(self.good.compress(block))
+        return more / (len(text) + 16.0)
 
 
 class Model:
     """Dictionaries and the curve; without labels of both kinds the share of good ones is the score."""
 
-    def __init__(self, good: bytes, bad: bytes, mean: np.ndarray, scale: np.ndarray, weights: np.ndarray):
-        self.good, self.bad, self.mean, self.scale, self.weights = good, bad, mean, scale, weights
-
-    def score(self, features: np.ndarray) -> np.ndarray:
-        x = design((features - self.mean) / self.scale)
-        return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
-
+    def __init__(self, good: bytes, bad: bytes, intercept: float, slope: float):
+        self.good, self.bad, self.intercept, self.slope = good, bad, intercept, slope
 
-def design(x: np.ndarray) -> np.ndarray:
-    """Intercept, features, and their products."""
-    i, j = np.triu_indices(x.shape[1])
-    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], axis=1)
+    def score(self, difference: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.intercept + self.slope * difference, -30, 30)))
 
 
 def train_dictionary(texts: list[bytes]) -> bytes:
@@ -90,13 +93,13 @@ def spread(text: F.Column) -> F.Column:
     return F.when(F.length(text) <= SAMPLE_BYTES, text).otherwise(F.concat(*(F.substring(text, a, F.lit(size)) for a in at)))
 
 
-def _features(shared):
-    """(label, h, features) from (label, h, text)."""
+def _differences(shared):
+    """(label, x) from (label, text)."""
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Compressors(*shared.value)
         for b in slices(batches):
-            x = [c.features(t) for t in b.column(2).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["label", "h", "x"])
+            x = [c.difference(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([b.column(0), pa.array(x, pa.float64())], names=["label", "x"])
     return op
 
 
@@ -116,7 +119,7 @@ def fit(docs: DataFrame, known: DataFrame) -> Model:
         picked = some if picked is None else picked.unionByName(some)
     share = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     prior = np.log(share / (1 - share))
-    flat = Model(b"", b"", np.zeros(4), np.ones(4), np.concatenate(([prior], np.zeros(14))))
+    flat = Model(b"", b"", float(prior), 0.0)
     if picked is None:
         return flat
     # every other one is for the curve
@@ -129,16 +132,16 @@ def fit(docs: DataFrame, known: DataFrame) -> Model:
         return flat
     bad, good = map(train_dictionary, kinds)
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))
-    seen = texts.where("curve").select("label", "h", "text").mapInArrow(_features(shared), "label int, h long, x array<double>").toArrow().to_pylist()
-    seen.sort(key=lambda r: (r["label"], r["h"], r["x"]))
+    seen = texts.where("curve").select("label", "text").mapInArrow(_differences(shared), "label int, x double").toArrow().to_pylist()
+    seen.sort(key=lambda r: (r["label"], r["x"]))
     y = np.array([float(r["label"]) for r in seen])
     if not 0 < y.sum() < len(y):
         return flat
     x = np.array([r["x"] for r in seen])
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    w = logistic(design((x - mean) / scale), y)
+    mean, scale = x.mean(), x.std() + 1e-9
+    w = logistic(np.stack([np.ones(len(x)), (x - mean) / scale], axis=1), y)
     w[0] += prior - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(good, bad, mean, scale, w)
+    return Model(good, bad, float(w[0] - w[1] * mean / scale), float(w[1] / scale))
 
 
 def _score(shared, threshold: float):
@@ -147,7 +150,7 @@ def _score(shared, threshold: float):
         c = Compressors(model.good, model.bad)
         for b in slices(batches):
             text = b.column(1).cast(pa.binary()).to_pylist()
-            score = model.score(np.array([c.features(t or b"") for t in text]))
+            score = model.score(np.array([c.difference(t or b"") for t in text]))
             yield pa.record_batch([b.column(0), b.column(2), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
     return op
 
@@ -162,7 +165,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     labels has doc_id and quality; rows that are held out, without doc_id or
     with another label than 0 and 1 are not learned from.  Null texts score as
     empty ones.  Without labels of both kinds every score is the share of good
-    labels, 0.5 without any.
+    labels, 0.5 without any.  Other columns are not read.  The model is fitted
+    when this is called.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where(F.col("label").isin(0, 1) & ~held_out())
     model = fit(docs.select("doc_id", "text"), known)

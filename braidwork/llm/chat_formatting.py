@@ -45,15 +45,17 @@ def maximal(conversations: DataFrame) -> DataFrame:
 
 
 def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """conv_id, part, n_turns, n_copies, rendered: the maximal conversations.
+    """conv_id, part, n_parts, n_turns, n_copies, rendered: the maximal conversations.
 
     Turns are in order of turn, then role, then text digest; a null turn comes
     first, null roles and texts are empty strings.  Turns without conv_id
     belong to no conversation.  A repeated row is a turn of its own.  n_turns
     and n_copies are those of the conversation: n_copies counts the
     conversations with exactly these turns, of which the smallest conv_id
-    stays.  A conversation is one row, part 0; one of over part_turns turns has
-    a row for each part_turns of them, as a row must fit in memory.
+    stays.  One form holds for every size: a row is a part of a conversation,
+    of part_turns turns at most, as a row must fit in memory, and a
+    conversation is its n_parts parts in order, part 0 on.  Other columns are
+    not read.
     """
     kept = maximal(conversations)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
@@ -62,7 +64,7 @@ def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> Data
     line = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
     lines = turns.join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", line.alias("line"), (F.row_number().over(order) - 1).alias("at"))
     parts = lines.groupBy("conv_id", F.floor(F.col("at") / part_turns).cast("int").alias("part"), "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
-    return parts.select("conv_id", "part", F.col("n_turns").cast("int").alias("n_turns"), "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
+    return parts.select("conv_id", "part", F.ceil(F.col("n_turns") / part_turns).cast("int").alias("n_parts"), F.col("n_turns").cast("int").alias("n_turns"), "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
 
 
 ORACLE = f"""
@@ -72,5 +74,5 @@ p AS (SELECT conv_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text))),
 whole AS (SELECT place, s, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n GROUP BY place, s),
 kept AS (SELECT conv_id, place AS n_turns, n_copies FROM whole WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = whole.place AND p.s = whole.s AND p.place < p.n))
-SELECT conv_id, CAST((place - 1) // {PART_TURNS} AS INTEGER) AS part, CAST(n_turns AS INTEGER) AS n_turns, n_copies, string_agg(line, '' ORDER BY place) AS rendered
+SELECT conv_id, CAST((place - 1) // {PART_TURNS} AS INTEGER) AS part, CAST((n_turns + {PART_TURNS - 1}) // {PART_TURNS} AS INTEGER) AS n_parts, CAST(n_turns AS INTEGER) AS n_turns, n_copies, string_agg(line, '' ORDER BY place) AS rendered
 FROM kept JOIN p USING (conv_id) GROUP BY ALL"""

@@ -26,8 +26,8 @@ def test_snapshots_collapse(spark):
     turns += [(5, 0, "user", "hi"), (5, 1, "assistant", "other"), (6, 0, "assistant", "hi")]
     df = spark.createDataFrame(turns, KIND)
     got = rows(df)
-    assert [r[:4] for r in got] == [(3, 0, 3, 2), (5, 0, 2, 1), (6, 0, 1, 1)]
-    assert got[0][4] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nbye<|im_end|>\n"
+    assert [r[:5] for r in got] == [(3, 0, 1, 3, 2), (5, 0, 1, 2, 1), (6, 0, 1, 1, 1)]
+    assert got[0][5] == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nbye<|im_end|>\n"
     assert got == oracle(df.toArrow())
 
 
@@ -35,13 +35,13 @@ def test_odd_rows(spark):
     turns = [(1, None, None, None), (1, 0, "user", ""), (2, 0, "user", "x"), (2, 0, "user", "x"), (3, 0, "user", "x"), (4, 0, "user", "y" * 200_000), (None, 0, "user", "x"), (5, 0, "b", "1"), (5, 0, "a", "2"), (6, 0, "a", "2")]
     df = spark.createDataFrame(turns, KIND).selectExpr("*", "1 as place", "2 as n_turns", "3 as a", "4 as x")
     assert rows(df) == oracle(df.select("conv_id", "turn", "role", "text").toArrow())
-    assert [(r[0], r[2]) for r in rows(df)] == [(1, 2), (2, 2), (4, 1), (5, 2)]
+    assert [(r[0], r[3]) for r in rows(df)] == [(1, 2), (2, 2), (4, 1), (5, 2)]
     assert rows(df.limit(0)) == []
 
 
 def test_long_conversations_come_in_parts(spark):
     turns = [(1, i, "user", f"m{i}") for i in range(7)]
     got = sorted(map(tuple, m.format_chats(spark.createDataFrame(turns, KIND), part_turns=3).collect()))
-    assert [r[:4] for r in got] == [(1, 0, 7, 1), (1, 1, 7, 1), (1, 2, 7, 1)]
+    assert [r[:5] for r in got] == [(1, 0, 3, 7, 1), (1, 1, 3, 7, 1), (1, 2, 3, 7, 1)]
     whole = m.format_chats(spark.createDataFrame(turns, KIND)).first().rendered
-    assert "".join(r[4] for r in got) == whole
+    assert "".join(r[5] for r in got) == whole

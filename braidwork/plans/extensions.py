@@ -114,10 +114,10 @@ def ext_rerank(spark, d):
 
 @query(f"SELECT count(*) AS queries, true AS recall_of_nine_tenths FROM embeddings WHERE {ASKED}")
 def ext_ann(spark, d):
-    """Recall@5 of the inverted file against the exact search: 16 lists, of which a query probes 8."""
+    """Recall@5 of the inverted file against the exact search: 32 lists, of which a query probes 24 (the vectors have hardly any clusters)."""
     e = table(spark, d, "embeddings")
-    centroids = retrieval.learn_lists(e, 16)
-    found = retrieval.top_k_many(retrieval.assign_lists(e, centroids), _queries(e, ASKED), 5, centroids=centroids, probes=8)
+    centroids = retrieval.learn_lists(e, 32)
+    found = retrieval.top_k_many(retrieval.assign_lists(e, centroids), _queries(e, ASKED), 5, centroids=centroids, probes=24)
     return retrieval.recall_at_k(found, _top(e, ASKED, 5)).select("queries", (F.col("recall") >= 0.9).alias("recall_of_nine_tenths"))
 
 

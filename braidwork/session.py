@@ -45,19 +45,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made: list[tuple[SparkSession, str]] = []
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there."""
+    """df written as Parquet to the shared folder and read back.
+
+    This cuts the lineage: a lost executor costs no more than re-reading the
+    files, and two consumers of the result do not compute it twice.  The
+    shuffle files behind the table go once it is written, rather than when the
+    driver next collects its garbage.  release() deletes the tables.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/braidwork-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release() -> None:
-    """Delete the tables that written() has made; results not yet read need them."""
+    """Delete the tables that written() has made; results not yet read need them.
+
+    A long session calls it once it has read or stored its results; it also
+    runs when the interpreter ends.
+    """
     while _made:
         spark, path = _made.pop()
         try:

@@ -1,31 +1,13 @@
-"""Written intermediate tables in the folder that all executors share."""
+"""Written intermediate tables in the folder that all executors share, and bounded batches."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from braidwork.session import release, shared_dir
+from braidwork.session import written as cut
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir.
-
-    Where the setting is missing, a temporary folder is used on a local
-    master only; on a cluster that would not be shared, so it is an error.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if got:
-        return got.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="braidwork-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+__all__ = ["cut", "release", "shared_dir", "small_batches"]
 
 
 def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
@@ -36,41 +18,3 @@ def small_batches(df: DataFrame, size: str = "4m") -> DataFrame:
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
     return df
-
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no more than re-reading the
-    files, and two consumers of the result do not compute it twice.  The
-    shuffle files behind the table go once it is written, rather than when the
-    driver next collects its garbage.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/braidwork-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the tables that cut() has written; results not yet read need them."""
-    while _made:
-        spark, path = _made.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the session may have ended; nothing is left to do then
-            return
-
-
-atexit.register(release)

@@ -70,3 +70,53 @@ def test_relabel_documents(odd, documents):
     assert m.relabel_documents(documents).columns == documents.columns
     assert m.relabel_documents(documents).count() == documents.count()
     assert not {1, 2, 3, 10} & {r.doc_id for r in m.relabel_documents(odd).collect()}
+
+
+def plain_choice(model, text):
+    """(languages by falling share, shares over all languages) of one text, in plain loops."""
+    import math
+
+    bucket, begin, w = m.trigrams(pa.array([text]))
+    words = np.add.reduceat(model.log_p[bucket], begin, axis=0).astype(float).tolist()
+    floor = 1e-30
+
+    def em(allowed):
+        share = [1 / len(allowed) if k in allowed else 0.0 for k in range(len(model.languages))]
+        for _ in range(m.ROUNDS):
+            total = [0.0] * len(share)
+            for x in words:
+                part = [max(math.exp(v - max(x)), floor) * s for v, s in zip(x, share, strict=True)]
+                total = [t + p / sum(part) for t, p in zip(total, part, strict=True)]
+            share = [t / len(words) for t in total]
+        return share, sum(math.log(sum(max(math.exp(v - max(x)), floor) * s for v, s in zip(x, share, strict=True))) + max(x) for x in words)
+
+    every, _ = em(set(range(len(model.languages))))
+    single = [sum(math.log(max(math.exp(x[k] - max(x)), floor)) + max(x) for x in words) for k in range(len(model.languages))]
+    chosen = {max(range(len(single)), key=lambda k: (single[k], -k))}
+    share, reached = [float(k in chosen) for k in range(len(single))], max(single)
+    while len(chosen) < len(single):
+        joins = next(k for k in sorted(range(len(single)), key=lambda k: (-every[k], k)) if k not in chosen)
+        if every[joins] * len(words) < 1:
+            break
+        trial, total = em(chosen | {joins})
+        if total - reached <= m.PENALTY * math.log(max(len(words), 2)):
+            break
+        chosen, share, reached = chosen | {joins}, trial, total
+    return sorted(chosen, key=lambda k: (-share[k], k)), every
+
+
+def test_the_set_of_languages_is_that_of_plain_loops(documents):
+    model = m.fit(documents.select("text", "lang"))
+    rows = [r.text for r in documents.orderBy("doc_id").limit(25).collect()]
+    texts = [t[:1500] for t in rows] + [a[:300] + " " + b[:200] for a, b in zip(rows, rows[7:], strict=False)] + ["the", "und der die"]
+    _, sets, _, every = m.infer(model.log_p, pa.array(texts))
+    for text, got, share in zip(texts, sets, every, strict=True):
+        want, plain = plain_choice(model, text)
+        assert got == want and np.allclose(share, plain)
+    assert any(len(x) > 1 for x in sets) and any(len(x) == 1 for x in sets)
+
+
+def test_clashing_columns(odd):
+    docs = odd.selectExpr("*", "1 as held_out", "2 as score", "3 as lang_pred", "4 as languages", "5 as c", "6 as bucket")
+    assert m.identify(docs).count() == odd.count()
+    assert m.relabel_documents(docs).columns == ["doc_id", "text", "lang", "source", "n_chars"]

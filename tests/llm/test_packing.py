@@ -4,6 +4,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from braidwork.llm import packing as m
 from braidwork.llm.queries import tokenizer_path
@@ -90,3 +92,19 @@ def test_least_squares_fits_an_exact_mixture():
     hist[[7, 3]] = 40
     hist[10] = 5
     assert m.fit([(7, 3)], hist) == pytest.approx([40.0])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(list("aA1 \n\t'.,é你\u00a0\u2028<|>"))), max_size=120))
+def test_ids_are_those_of_the_file(text):
+    """The faster encoder gives the ids that tokenizers gives."""
+    from tokenizers import Tokenizer
+
+    if not hasattr(test_ids_are_those_of_the_file, "slow"):
+        test_ids_are_those_of_the_file.slow = Tokenizer.from_file(tokenizer_path())
+    assert m.encoder(tokenizer_path())(text).tolist() == test_ids_are_those_of_the_file.slow.encode(text, add_special_tokens=False).ids
+
+
+def test_ids_of_documents(documents, tokenizer):
+    for r in documents.collect():
+        assert m.encoder(tokenizer_path())(r.text or "").tolist() == tokenizer.encode(r.text or "", add_special_tokens=False).ids

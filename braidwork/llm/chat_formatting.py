@@ -7,13 +7,16 @@ with a smaller id, is a snapshot and goes by an anti-join.  What is left is
 rendered as training text.
 
 How it scales.  A turn's hash mixes its place, role and text into 128 bits,
-and the rolling hash is the exclusive or of them, so it needs one running
-aggregate over 32-byte rows: texts are not shuffled for it.  Prefixes are made
-distinct before the join with map-side aggregation, so a first turn that a
-third of all conversations share is one row a task, and the anti-join reads
-each distinct prefix once.  Only turns of kept conversations shuffle text.  The
-turns of one conversation are put in order by one task, which spills, and long
-conversations are rendered in parts.
+and the rolling hash is the exclusive or of them, so it needs running sums
+over 32-byte rows: texts are not shuffled for it.  Turns are ordered over the
+whole table by range, and a conversation of any size lies in as many ranges as
+it fills: places and hashes are summed inside a range, and what the ranges
+before it add is a row for each range.  So a conversation with a third of all
+turns is as many tasks' work as its share.  Prefixes are made distinct before
+the join with map-side aggregation, so a first turn that a third of all
+conversations share is one row a task, and the anti-join reads each distinct
+prefix once.  Only turns of kept conversations shuffle text, and long ones are
+rendered in parts.
 """
 
 from __future__ import annotations
@@ -21,18 +24,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braidwork.llm.scratch import cut
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 PART_TURNS = 10_000
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """turns (conv_id, turn, role, tie, ...) with range, place (from 1) and n_turns of the conversation.
+
+    The order is that of turn, nulls first, then role, then tie; equal rows
+    may come in any order.
+    """
+    within = [F.col("turn").asc_nulls_first(), "role", "tie", "own"]
+    spread = turns.withColumn("own", F.monotonically_increasing_id()).repartitionByRange("conv_id", *within)
+    ranged = cut(spread.withColumn("range", F.spark_partition_id()))
+    counts = ranged.groupBy("conv_id", "range").agg(F.count("*").alias("c"))
+    whole = Window.partitionBy("conv_id")
+    before = counts.select("conv_id", "range", (F.sum("c").over(whole.orderBy("range")) - F.col("c")).alias("before"), F.sum("c").over(whole).alias("n_turns"))
+    here = F.row_number().over(Window.partitionBy("conv_id", "range").orderBy(*within))
+    return ranged.join(before, ["conv_id", "range"]).withColumn("place", here + F.col("before")).drop("own", "before")
+
+
 def prefixes(conversations: DataFrame) -> DataFrame:
     """conv_id, place, n_turns, a, b: the rolling hash up to each turn (its place counts from 1)."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), F.xxhash64(F.lit(1), role, text).alias("x"), F.xxhash64(F.lit(2), text, role).alias("y"), F.md5(text).alias("tie"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "tie")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    placed = turns.withColumn("place", F.row_number().over(order)).withColumn("n_turns", F.count("*").over(Window.partitionBy("conv_id")))
-    return placed.select("conv_id", "place", "n_turns", F.bit_xor(F.xxhash64("place", "x", "y")).over(upto).alias("a"), F.bit_xor(F.xxhash64("y", "place", "x")).over(upto).alias("b"))
+    turns = conversations.where("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), F.md5(text).alias("tie"), F.xxhash64(F.lit(1), role, text).alias("x"), F.xxhash64(F.lit(2), text, role).alias("y"))
+    each = cut(numbered(turns).select("conv_id", "range", "place", "n_turns", F.xxhash64("place", "x", "y").alias("a"), F.xxhash64("y", "place", "x").alias("b")))
+    sofar = Window.partitionBy("conv_id", "range").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = each.groupBy("conv_id", "range").agg(F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    before = ranges.select("conv_id", "range", *(F.coalesce(F.bit_xor(c).over(earlier), F.lit(0)).alias(f"before_{c}") for c in ("a", "b")))
+    return each.join(before, ["conv_id", "range"]).select("conv_id", "place", "n_turns", *(F.bit_xor(c).over(sofar).bitwiseXOR(F.col(f"before_{c}")).alias(c) for c in ("a", "b")))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
@@ -59,10 +82,9 @@ def format_chats(conversations: DataFrame, part_turns: int = PART_TURNS) -> Data
     """
     kept = maximal(conversations)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), text.alias("text"))
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.md5("text"))
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), F.md5(text).alias("tie"), text.alias("text"))
     line = F.concat(F.lit(OPEN), "role", F.lit("\n"), "text", F.lit(CLOSE + "\n"))
-    lines = turns.join(kept, "conv_id").select("conv_id", "n_turns", "n_copies", line.alias("line"), (F.row_number().over(order) - 1).alias("at"))
+    lines = numbered(turns.join(kept.drop("n_turns"), "conv_id")).select("conv_id", "n_turns", "n_copies", line.alias("line"), (F.col("place") - 1).alias("at"))
     parts = lines.groupBy("conv_id", F.floor(F.col("at") / part_turns).cast("int").alias("part"), "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("lines"))
     return parts.select("conv_id", "part", F.ceil(F.col("n_turns") / part_turns).cast("int").alias("n_parts"), F.col("n_turns").cast("int").alias("n_turns"), "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("rendered"))
 

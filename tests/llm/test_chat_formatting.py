@@ -45,3 +45,23 @@ def test_long_conversations_come_in_parts(spark):
     assert [r[:5] for r in got] == [(1, 0, 3, 7, 1), (1, 1, 3, 7, 1), (1, 2, 3, 7, 1)]
     whole = m.format_chats(spark.createDataFrame(turns, KIND)).first().rendered
     assert "".join(r[5] for r in got) == whole
+
+
+def test_a_conversation_over_many_ranges(spark):
+    """One conversation has nearly all turns, and another is its prefix."""
+    turns = [(1, i, "user", f"m{i % 50}") for i in range(3000)] + [(2, i, "user", f"m{i % 50}") for i in range(1700)] + [(c, i, "user", f"m{i}") for c in range(3, 60) for i in range(c % 4 + 1)]
+    df = spark.createDataFrame(turns, KIND).repartition(6)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")  # so that a small table has several ranges
+    try:
+        check_ranges(df)
+    finally:
+        spark.conf.unset(setting)
+
+
+def check_ranges(df):
+    got = m.prefixes(df).collect()
+    assert sorted(r.place for r in got if r.conv_id == 1) == list(range(1, 3001)) and {r.n_turns for r in got if r.conv_id == 2} == {1700}
+    assert m.numbered(df.selectExpr("*", "md5(text) as tie")).where("conv_id = 1").select("range").distinct().count() > 2
+    assert {r.conv_id: (r.n_turns, r.n_copies) for r in m.format_chats(df).collect()} == {1: (3000, 1)}
+    assert rows(df) == oracle(df.toArrow())

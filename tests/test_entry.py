@@ -10,7 +10,7 @@ def test_flagship(spark):
     import __spark_entry__ as e
 
     df = e.entry(spark)
-    assert df.columns == ["qid", "vec_id", "score", "rk"] and df.count() == 100
+    assert df.columns == ["qid", "vec_id", "score", "rk"] and df.count() == 25
 
 
 def test_oracles_belong_to_queries():

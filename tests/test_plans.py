@@ -8,7 +8,7 @@ from braidwork.plans import core, extensions  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 #: One row on either side.
-CROSSED = {"state_snapshot"}
+CROSSED = {"state_snapshot", "ext_leaving_check"}
 #: Settled streams and trees run while they are built.
 EAGER = {n for n in core.QUERIES if n.startswith("stream_")} | {"span_tree"}
 

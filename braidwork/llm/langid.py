@@ -222,7 +222,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def relabel_documents(docs: DataFrame) -> DataFrame:
-    """The rows of documents (doc_id, text, lang, source, n_chars) with the predicted language as lang, without those that are `und`."""
+    """The rows of documents (doc_id, text, lang, source, n_chars) with the predicted language as lang, without those that are `und`.
+
+    Null and empty texts and texts without a letter are `und`; rows without
+    doc_id stay if their text has a language.  Other columns go.
+    """
     model = fit(small_batches(docs).select("text", "lang", held_out().alias("held_out")).where(~F.col("held_out")))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInArrow(_relabel(shared), "doc_id long, text string, lang string, source string, n_chars long")

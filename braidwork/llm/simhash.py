@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
     Null and empty texts have fingerprint zero and link like any other.  Rows
     without doc_id get the component of their fingerprint; where no row of the
-    component has one it is null.  Other columns are not read.
+    component has one it is null.  Other columns are not read.  The search runs
+    when this is called.
     """
     if distance < 0 or distance > 8:
         raise ValueError("distance is from 0 to 8")

@@ -350,12 +350,13 @@ def dedup_substrings(docs: DataFrame, **how) -> DataFrame:
 
     A null text counts as one without words.  Other columns are not read.  Rows
     that repeat a doc_id with the same text are one document and each returned.
+    The table of segments is written when this is called.
     """
     return _applied(docs, [], False, **how).withColumnRenamed("kept", "kept_sha256")
 
 
 def rewrite_documents(docs: DataFrame, **how) -> DataFrame:
-    """The rows of documents (doc_id, text, lang, source, n_chars) with repeats taken out.
+    """The rows of documents (doc_id, text, lang, source, n_chars) with repeats taken out; other columns go.
 
     Texts that lose nothing stay as they are; the others become their kept
     words joined by single spaces, with n_chars to match.

@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before it
 kept, and its result is written as Parquet before the next one reads it.
+
+Null and empty texts have no language and go with the first stage, and so do
+columns other than those of documents.  Rows without doc_id pass the stages,
+are never near copies or repeats of others, and are packed.
 """
 
 from __future__ import annotations

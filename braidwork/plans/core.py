@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from braidwork.functions import payload
+from braidwork.functions import payload, registry, vectors
 from braidwork.functions.text import default_if_empty, preview, render
-from braidwork.operators import agent, catalog, chunking, memory, retrieval, safety, spans, state, telemetry
+from braidwork.operators import agent, catalog, chunking, loop, memory, retrieval, safety, spans, state, telemetry
 from braidwork.session import table
-from braidwork.sources import files
+from braidwork.sources import files, providers
 from braidwork.streaming import twins
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -566,3 +566,107 @@ def stream_safety(spark, d):
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')")
 def stream_memory(spark, d):
     return twins.settle(memory.history(twins.follow(spark, d, "conversations"))).select("conv_id", "turn", "role", "text")
+
+
+# ---- further rows of single operators
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'no ' || props ELSE replace(props, ' ', '') END AS body FROM events")
+def json_bodies(spark, d):
+    return _events(spark, d).select("event_id", payload.json_or_text(_args()).alias("body"))
+
+
+@query("SELECT event_id, 'kind=' || CASE WHEN event_id % 2 = 0 THEN 'new' ELSE event_type END || ';user=' || user_id AS attributes FROM events")
+def span_attributes(spark, d):
+    own = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("kind"), F.col("event_type"))
+    new = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("kind"), F.lit("new"))).otherwise(F.create_map().cast("map<string,string>"))
+    pairs = F.transform(F.array_sort(F.map_entries(spans.set_attributes(own, new))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return _events(spark, d).select("event_id", F.array_join(pairs, ";").alias("attributes"))
+
+
+@query("""WITH m AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id AS trace_id, event_id + 1 AS span_id, CAST(0 AS BIGINT) AS parent_id, event_type AS name, CASE WHEN i = n THEN 'UNSET' WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status FROM m
+UNION ALL SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), 'run', 'UNSET' FROM m""")
+def span_stack(spark, d):
+    """A run of each user with its events inside; the last event and the run are still open."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _events(spark, d).withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
+    trace, ts = F.col("user_id").alias("trace_id"), F.col("ts").cast("timestamp").alias("ts")
+    status = F.when(F.col("event_type") == "error", "ERROR").alias("status")
+    starts = e.select(trace, (F.col("i") * 2).cast("long").alias("seq"), F.lit("start").alias("kind"), (F.col("event_id") + 1).alias("span_id"), F.col("event_type").alias("name"), ts, status)
+    ends = e.where("i < n").select(trace, (F.col("i") * 2 + 1).cast("long").alias("seq"), F.lit("end").alias("kind"), (F.col("event_id") + 1).alias("span_id"), F.lit(None).cast("string").alias("name"), ts, status)
+    runs = e.where("i = 1").select(trace, F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), F.lit(0).cast("long").alias("span_id"), F.lit("run").alias("name"), ts, F.lit(None).cast("string").alias("status"))
+    return spans.from_stack(starts.unionByName(ends).unionByName(runs)).select("trace_id", "span_id", "parent_id", "name", "status")
+
+
+@query("""SELECT event_id // 10 AS trace_id, json_group_array(event_type) AS children FROM (SELECT * FROM events WHERE event_id % 10 > 0 ORDER BY ts, event_id) GROUP BY 1 HAVING count(*) > 0""")
+def trace_trees(spark, d):
+    """Nested JSON of traces of a root and its events, read back as the names of the children in order."""
+    e = _events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    flat = e.select(F.floor(F.col("event_id") / 10).cast("long").alias("trace_id"), (F.col("event_id") % 10).alias("span_id"), F.when(F.col("event_id") % 10 > 0, 0).cast("long").alias("parent_id"), F.col("event_type").alias("name"),
+                    F.col("ts").alias("start_ts"), F.col("ts").alias("end_ts"), F.create_map(F.lit("user"), F.col("user_id").cast("string")).alias("attributes"), F.lit("OK").alias("status"))
+    told = F.from_json("trace", "struct<name:string,children:array<struct<name:string,children:array<string>>>>")["children"]
+    return spans.trace_json(flat).select("trace_id", F.to_json(F.transform(told, lambda x: x["name"])).alias("children")).where("children <> '[]'")
+
+
+@query("SELECT conv_id, turn, role, text, CAST(0 AS BIGINT) AS pos FROM conversations WHERE false")
+def memory_window_none(spark, d):
+    return memory.context_window(table(spark, d, "conversations"), 0).select("conv_id", "turn", "role", "text", "pos")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 0 ELSE 1 END AS n_history FROM conversations")
+def history_or_empty(spark, d):
+    said = F.when(F.col("turn") % 2 == 1, F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("content"))))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.size(memory.or_empty(said)).alias("n_history"))
+
+
+@query("""SELECT vec_id, CAST(0 AS DOUBLE) AS with_zero, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS as_floats FROM embeddings""")
+def vector_edges(spark, d):
+    v = F.col("embedding")
+    zero = F.transform(v, lambda x: x * 0.0)
+    return table(spark, d, "embeddings").select("vec_id", vectors.cosine(v, zero).alias("with_zero"), F.round(vectors.norm(vectors.as_floats(v.cast("array<double>"))), 4).alias("as_floats"))
+
+
+@query(f"""SELECT vec_id, round({DOT.format(a="embedding", b="embedding")}, 4) AS d, round(sqrt({DOT.format(a="embedding", b="embedding")}), 4) AS n FROM embeddings""")
+def sql_functions(spark, d):
+    registry.register_functions(spark)
+    return table(spark, d, "embeddings").selectExpr("vec_id", "round(vector_dot(cast(embedding as array<double>), cast(embedding as array<double>)), 4) AS d", "round(vector_norm(cast(embedding as array<double>)), 4) AS n")
+
+
+@query(f"""SELECT 'temperature' AS category, room AS device, CAST("current" AS DOUBLE) AS "current", target, CAST(NULL AS VARCHAR) AS status FROM ({ROOMS_SQL})
+UNION ALL SELECT 'doors', door, NULL, NULL, status FROM ({DOORS_SQL})""")
+def state_table_function(spark, d):
+    (rooms, _), (doors, _) = _house(spark, d)
+    registry.register_snapshot(spark, rooms, doors)
+    return spark.sql("SELECT * FROM house_snapshot()")
+
+
+@query(f"SELECT event_id, CAST(CASE WHEN json_valid(a) THEN json_extract_string(a, '$.k') END AS BIGINT) AS k FROM (SELECT event_id, {ARGS_SQL} AS a FROM events)")
+def typed_arguments(spark, d):
+    schema = {"type": "object", "properties": {"k": {"type": "integer"}}}
+    return registry.typed_arguments(_events(spark, d).select("event_id", _args().alias("arguments")), schema).select("event_id", "args.k")
+
+
+@query(f"SELECT event_id, NOT json_valid(a) AS failed, CASE WHEN json_valid(a) THEN event_type || ':' || json_extract_string(a, '$.k') END AS result FROM (SELECT event_id, event_type, {ARGS_SQL} AS a FROM events)")
+def tool_execution(spark, d):
+    calls = _events(spark, d).select("event_id", F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("tool_name"), F.col("event_type").alias("endpoint_url"), _args().alias("arguments"))
+    return providers.execute_calls(calls, lambda endpoint, arguments: f"{endpoint}:{arguments['k']}").select("event_id", "failed", F.when(~F.col("failed"), F.col("result")).alias("result"))
+
+
+@query("""SELECT conv_id AS run_id, CASE WHEN conv_id % 4 < 3 THEN 'completed' ELSE 'max_iterations' END AS status, CAST(CASE WHEN conv_id % 4 < 3 THEN conv_id % 4 + 1 ELSE 3 END AS INTEGER) AS iterations,
+ CASE WHEN conv_id % 4 < 3 THEN 'done ' || conv_id ELSE '[Error] Max tool-call iterations reached. Partial response may be incomplete.' END AS response, CAST(CASE WHEN conv_id % 4 < 3 THEN 2 * (conv_id % 4) + 2 ELSE 7 END AS INTEGER) AS n_messages FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def agent_runs(spark, d):
+    """Runs that call a tool as often as their id says and then answer, or reach the cap of three."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("run_id")).distinct()
+    runs = c.select("run_id", F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))).alias("messages"))
+
+    def complete(open_runs):
+        answers = F.col("iteration") >= F.col("run_id") % 4
+        null = F.lit(None).cast("string")
+        call = F.struct(F.lit("tool_use").alias("type"), null.alias("text"), F.lit("c").alias("id"), F.lit("a").alias("name"), F.lit("{}").alias("input"))
+        text = F.struct(F.lit("text").alias("type"), F.concat(F.lit("done "), F.col("run_id").cast("string")).alias("text"), null.alias("id"), null.alias("name"), null.alias("input"))
+        return open_runs.withColumn("stop_reason", F.when(answers, "end_turn").otherwise("tool_use")).withColumn("blocks", F.when(answers, F.array(text)).otherwise(F.array(call)))
+
+    tools = c.select("run_id", F.lit("a").alias("tool_name"), F.lit("e").alias("endpoint_url"))
+    done = loop.run_agents(runs, tools, complete, lambda calls: calls.withColumn("result", F.lit("r")).withColumn("failed", F.lit(False)), cap=3)
+    return done.results.select("run_id", "status", "iterations", "response", F.size("messages").alias("n_messages"))

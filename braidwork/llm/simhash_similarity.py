@@ -18,7 +18,7 @@ similarity of SIMILARITY or more.
 
 How it scales.  Equal sets become one row by a pre-aggregated minimum.  A round
 is one shuffle of 50 visits of 32 bytes for each distinct set, whose files go
-before the next.  Candidates come as spanning forests, never all pairs; their
+before the next; of small tables several rounds are one shuffle.  Candidates come as spanning forests, never all pairs; their
 components are clusters, so that every candidate pair is inside a cluster, and
 only the shingles of clusters are shuffled, once.  A cluster yields a spanning
 forest of its verified links.  A cluster with many shingles is compared by
@@ -40,6 +40,8 @@ from braidwork.llm.simhash import CELL_LIMIT, crowded, grid_links, hamming
 from braidwork.llm.words import LOWER, U, Words, grams, mix, slices, trim
 
 SHINGLE, SIMILARITY, ROUNDS, RADIUS, BITS = 5, 0.8, 10, 4, 32
+#: Visits of 32 bytes that one job shuffles at most; a single round may be more.
+VISITS = 1 << 25
 #: Words of 64 bits of the code that candidates are compared by.
 CODE = 2
 #: Shingles of one cluster that are compared together; larger clusters are split into pairs of blocks.
@@ -169,6 +171,11 @@ def _verify(least: float, bits: int):
     return op
 
 
+def every_of(distinct: DataFrame, *columns) -> DataFrame:
+    """A row (grid, fp, columns) for each round's fingerprint of each set."""
+    return distinct.select(F.posexplode(F.slice("fps", 1, ROUNDS)).alias("grid", "fp"), *columns)
+
+
 def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, limit: int = CLUSTER_LIMIT, cell_limit: int = CELL_LIMIT, bits: int = BITS) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) for every row with doc_id.
 
@@ -178,13 +185,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, l
     rows = small_batches(docs).where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(rows.mapInArrow(_sketch(shingle), "doc_id long, set long, n long, fps array<long>"))
     distinct = cut(sketched.groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("fps").alias("fps")))
-    every = distinct.select(F.posexplode(F.slice("fps", 1, ROUNDS)).alias("grid", "fp"))
-    big = cut(crowded(every, RADIUS, cell_limit))
+    big = cut(crowded(every_of(distinct), RADIUS, cell_limit))
     big = None if big.isEmpty() else big
-    code = [F.col("fps")[ROUNDS + i].alias(f"code{i}") for i in range(CODE)]
+    nodes = ["set", *(f"code{i}" for i in range(CODE))]
+    coded = every_of(distinct, "set", *(F.col("fps")[ROUNDS + i].alias(f"code{i}") for i in range(CODE)))
+    each = max(1, VISITS // (50 * max(1, distinct.count())))  # how many rounds are one job changes no result
     met = None
-    for k in range(ROUNDS):
-        found = cut(grid_links(distinct.select(F.col("fps")[k].alias("fp"), F.lit(k).alias("grid"), "set", *code), ["set", *(f"code{i}" for i in range(CODE))], RADIUS, bits, big))
+    for k in range(0, ROUNDS, each):
+        found = cut(grid_links(coded.where(F.col("grid").between(k, k + each - 1)), nodes, RADIUS, bits, big))
         met = found if met is None else met.unionByName(found)
     clusters = cut(components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("set"), F.col("component").alias("cluster")))
     members = clusters.join(distinct.select("set", "rep", "n"), "set")

@@ -224,8 +224,10 @@ RULES: tuple[tuple[str, int, str, str, tuple[int, ...]], ...] = (
     ("unlicense", 1, "Unlicense", "notice", (801,)),
     ("reserved", 1, "All-Rights-Reserved", "notice", (901,)),
 )
-#: Words that every sentence of the catalogue has one of; texts without any are not split.
+#: What every rule has in one of its sentences; texts without any are not split.
 MARKS = "licen[cs]e|permission|warrant|copyright|redistribut|public[^a-z0-9]+domain|rights[^a-z0-9]+reserved|gnu[^a-z0-9]+(?:lesser|affero)?[^a-z0-9]*general|without[^a-z0-9]+any[^a-z0-9]+express|cc0|spdx"
+#: A part of each of these marks, looked for first, as plain strings are found faster than patterns.
+PARTS = ("licen", "permission", "warrant", "copyright", "redistribut", "domain", "reserved", "general", "express", "cc0", "spdx")
 
 
 #: What stands for the name of an organisation, which sentences have as *.
@@ -247,7 +249,8 @@ def _alternatives() -> str:
 #: A known sentence from the start of a line to the end of one; its words may be on several lines.
 KNOWN = rf"(?<![^\n])(?:{_alternatives()})(?![^\n])"
 #: Marks of list items: at the start of a line, or before a capital.
-ITEM = r"(?:(?<=(?:^|\n)[ \t*#/;!-]{0,20}){M}[ \t]+|(?<![^\s*#/;!-]){M}[ \t]+(?=[A-Z]))".replace("{M}", r"(?:\([0-9a-z]{1,2}\)|[0-9]{1,2}[.)]|[a-z]\))")
+_MARK = r"(?:\([0-9a-z]{1,2}\)|[0-9]{1,2}[.)]|[a-z]\))[ \t]+"
+ITEM = rf"(?m:^)[ \t*#/;!-]{{0,20}}{_MARK}|(?<![^\s*#/;!-]){_MARK}(?=[A-Z])"
 
 
 def pieces(text: Column) -> Column:
@@ -281,13 +284,21 @@ def _follows(sequence: Column, ids: tuple[int, ...]) -> Column:
     return sequence.like("%" + "".join(f"|{i}|%" if k == 0 else f"{i}|%" for k, i in enumerate(ids))) if len(ids) == 1 else sequence.rlike(r"\|" + r"\|(?:[0-9]+\|)*".join(map(str, ids)) + r"\|")
 
 
+def _has_mark(text: Column) -> Column:
+    some = text.contains(PARTS[0])
+    for part in PARTS[1:]:
+        some |= text.contains(part)
+    return F.coalesce(some & text.rlike(MARKS), F.lit(False))
+
+
 def recognise(docs: DataFrame) -> DataFrame:
     """doc_id, family, license, kind, n_sentences: a row for each licence family found in each row of docs.
 
     n_sentences counts the known sentences of the text.  Null and empty texts
     have none.  Repeated rows give repeated results; other columns are ignored.
     """
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.translate("text", UPPER, LOWER).rlike(MARKS))
+    # in an array of one, so that the text is put in small letters once
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.exists(F.array(F.translate("text", UPPER, LOWER)), _has_mark))
     sequenced = marked.select("doc_id", sentence_ids(F.col("text")).alias("ids")).where("ids <> '|'")
     families: dict[str, Column] = {}
     for family, _, name, kind, ids in sorted(RULES, key=lambda r: -r[1]):  # the first rule of a family wins

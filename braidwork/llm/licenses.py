@@ -4,7 +4,7 @@ A text is normalised (A-Z lower-cased, all but letters, digits and sentence
 ends become single spaces) and split at line ends, after . ! ? before anything
 but a small letter or a digit, and at the marks of list items.  What is a known
 licence sentence, on a line of its own or over neighbouring lines, becomes its
-identifier; the rest vanishes.  Blank lines, list marks and sentence ends are
+identifier; the rest vanishes.  Other . ! ? before a space count as line ends.  Blank lines, list marks and sentence ends are
 never joined over, and comment signs at the start of a line do not count.  A
 sentence may leave room for the name of an organisation.  Each licence is an ordered rule: a list of
 identifiers that must follow one another in that sequence, with other known
@@ -257,7 +257,7 @@ def pieces(text: Column) -> Column:
     """The normalised lines of a text, with an empty line where a sentence ends."""
     listed = F.regexp_replace(text, ITEM, "\n\n")
     lines = F.regexp_replace(listed, r"([.!?])[ \t\r\n]+(?![ \t\r\na-z0-9])", "$1\n\n")
-    lines = F.regexp_replace(lines, r'("\);)[ \t]+', "$1\n")  # the list that a definition opens
+    lines = F.regexp_replace(lines, r'([.!?]|"\);)[ \t]+', "$1\n")  # a line may end there, as in v. 2.0
     plain = F.regexp_replace(F.translate(lines, UPPER, LOWER), r"[^a-z0-9\n]+", " ")
     return F.trim(F.regexp_replace(plain, " ?\n ?", "\n"))
 
@@ -317,8 +317,8 @@ def oracle() -> str:
 WITH RECURSIVE known(id, sentence) AS (VALUES {values}),
 rules(family, rnk, license, kind, pattern, needs) AS (VALUES {rules}),
 rows_ AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
-split AS (SELECT rid, doc_id, string_split(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(text, '(^|\\n)([ \\t*#/;!-]*)(\\([0-9a-z]{{1,2}}\\)|[0-9]{{1,2}}[.)]|[a-z]\\))[ \\t]+', '\\1\\2' || chr(10), 'g'), '(^|[\\s*#/;!-])(\\([0-9a-z]{{1,2}}\\)|[0-9]{{1,2}}[.)]|[a-z]\\))[ \\t]+([A-Z])', '\\1' || chr(10) || '\\3', 'g'),
-  '([.!?])[ \\t\\r\\n]+([^ \\t\\r\\na-z0-9])', '\\1' || chr(10) || '\\2', 'g'), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS ls FROM rows_),
+split AS (SELECT rid, doc_id, string_split(regexp_replace(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([vV])[.] ([0-9])', '\\1 \\2', 'g'), '(^|\\n)([ \\t*#/;!-]*)(\\([0-9a-z]{{1,2}}\\)|[0-9]{{1,2}}[.)]|[a-z]\\))[ \\t]+', '\\1\\2' || chr(10), 'g'),
+  '(^|[\\s*#/;!-])(\\([0-9a-z]{{1,2}}\\)|[0-9]{{1,2}}[.)]|[a-z]\\))[ \\t]+([A-Z])', '\\1' || chr(10) || '\\3', 'g'), '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), '{UPPER}', '{LOWER}'), '[^a-z0-9\\n]+', ' ', 'g'), chr(10)) AS ls FROM rows_),
 lines AS (SELECT rid, doc_id, trim(unnest(ls), ' ') AS line, generate_subscripts(ls, 1) AS pos FROM split),
 met AS (SELECT rid, doc_id, pos, id FROM lines JOIN known ON line = sentence
   UNION ALL SELECT rid, doc_id, pos, id FROM lines JOIN known ON contains(sentence, '*') AND line LIKE replace(sentence, '*', '%') AND line NOT IN (SELECT sentence FROM known)

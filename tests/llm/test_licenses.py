@@ -235,3 +235,11 @@ def test_every_rule_has_a_marked_sentence():
 def test_clashing_columns(spark):
     df = spark.createDataFrame([(1, MIT)], "doc_id long, text string").selectExpr("*", "1 as ids", "2 as found", "'x' as family", "3 as license")
     assert rows(df) == [(1, "mit", "MIT", "text", 2)]
+
+
+def test_small_letters_after_a_full_stop(spark):
+    """A sentence may begin or end there, and may go on over it."""
+    texts = ["some words. licensed under the mit license", "Released under the MIT License. and more", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "by 1999. All rights reserved. 12 more"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r[:3] for r in rows(df)] == [(0, "mit", "MIT"), (1, "mit", "MIT"), (2, "mpl", "MPL-2.0"), (3, "reserved", "All-Rights-Reserved")]
+    assert rows(df) == oracle(df.toArrow())

@@ -236,8 +236,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     """(qid, <key>, score, rk): Okapi BM25 over lower-cased words of letters and digits.
 
     Documents are split once, into their length and those words that a query
-    has; only these are exploded and shuffled.  The split documents are written
-    when this is called.
+    has; only these are exploded and shuffled.  A word's weight is summed as a
+    decimal of 18 places, so that the order of rows adds no rounding and equal
+    texts tie.  The split documents are written when this is called.
     """
     terms = written(queries.select("qid", F.explode(F.array_distinct(words("text"))).alias("term")))
     distinct = terms.select("term").distinct()
@@ -250,5 +251,5 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.2, b: float
     tf = (hits if few else hits.join(distinct, "term")).groupBy("term", key, "len").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(mean or 1.0)))
-    scored = tf.join(df, "term").join(terms, "term").groupBy("qid", key).agg(F.sum(weight).alias("score"))
+    scored = tf.join(df, "term").join(terms, "term").groupBy("qid", key).agg(F.sum(weight.cast("decimal(28,18)")).cast("double").alias("score"))
     return _ranked(scored.withColumnRenamed(key, "id"), k, key)

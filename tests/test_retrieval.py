@@ -96,6 +96,21 @@ def test_words_beyond_literals_are_joined(spark, monkeypatch):
     assert [(r[0], r[1]) for r in want] == [(1, 2), (1, 1), (2, 1)]
 
 
+def test_equal_texts_tie_whatever_the_order_of_their_rows(spark):
+    """Sums of doubles in the order of the shuffle would rank copies by their rounding."""
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{i} " * (1 + i % 7) for i in range(60))
+    other = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(3, 30))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, text if i % 2 else other[i]) for i in range(300)], "doc_id long, text string").repartition(8)
+    asked = spark.createDataFrame([(1, text)], "qid long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a text's rows come from several partitions, as they do at size
+    try:
+        got = [r.doc_id for r in m.bm25(docs, asked, 150).orderBy("rk").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == list(range(1, 300, 2))
+
+
 def test_reranking_takes_the_first(spark):
     found = spark.createDataFrame([(1, i, float(-i), i + 1) for i in range(9)], "qid long, vec_id long, score double, rk long")
     got = m.rerank(found, lambda df: df.withColumn("score", F.col("vec_id") * 1.0), 2, first=4)

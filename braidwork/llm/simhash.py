@@ -14,11 +14,12 @@ and two fingerprints in range always share a cell.  Fingerprints in a cell
 are verified on all 64 bits.
 
 How it scales.  Equal fingerprints (exact copies, or empty texts) become one
-row before the join, by a pre-aggregated minimum.  A cell yields a spanning
-forest of its links, never all pairs: the search from a member only looks at
-members not yet reached, so a dense cell costs little more than its size.  A
+row before the join, by a pre-aggregated minimum.  Links are given as stars
+that connect what a batch of cells links, never all pairs; in a dense cell the
+search from a member only looks at members not yet reached, so such a cell
+costs little more than its size.  A
 crowded cell is compared by pairs of blocks of a fixed size, in tasks of their
-own; together their forests connect what the cell connects.  Components are
+own; together their stars connect what the cell connects.  Components are
 found by distributed star steps.
 """
 
@@ -176,9 +177,30 @@ def forest(code: list[np.ndarray], distance: int) -> list[tuple[int, int]]:
     return links
 
 
-def _verify(distance: int, dense: int = 48):
-    """(x, y) from rows (part, node, words of its code) in order of part; without words the node is its code.  Small parts are compared together, offset by offset."""
-    def run(part: np.ndarray, node: np.ndarray, code: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least, node) for every node of the links (a, b) but the least of its component: as many links as connect the same."""
+    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[:len(a)], at[len(a):]
+    top = np.arange(len(ids))
+    while True:
+        low, high = np.minimum(top[x], top[y]), np.maximum(top[x], top[y])
+        apart = low != high
+        if not apart.any():
+            break
+        np.minimum.at(top, high[apart], low[apart])
+        while (top[top] != top).any():
+            top = top[top]
+    other = np.flatnonzero(top != np.arange(len(ids)))
+    return ids[top[other]], ids[other]
+
+
+def _verify(distance: int, dense: int = 48, labelled: bool = False):
+    """(x, y) from rows (part, node, words of its code) in order of part; without words the node is its code.  Small parts are compared together, offset by offset.
+
+    What the links of a batch connect is given as stars, so a row gives one link at most.
+    labelled: a label follows the code, and x and y are labels; links inside a label are left out.
+    """
+    def run(part: np.ndarray, node: np.ndarray, code: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = [], []
         bounds = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
         size = np.diff(bounds)
@@ -187,15 +209,16 @@ def _verify(distance: int, dense: int = 48):
             links = forest([c[own] for c in code], distance)
             if links:
                 x = np.array(links)
-                a.append(node[own[x[:, 0]]])
-                b.append(node[own[x[:, 1]]])
+                p, q = label[own[x[:, 0]]], label[own[x[:, 1]]]
+                a.append(p[p != q])
+                b.append(q[p != q])
         keep = np.repeat((size <= dense) & (size > 1), size)
-        part, node, code = part[keep], node[keep], [c[keep] for c in code]
-        for step in range(1, min(dense, max(1, len(node)))):
+        part, label, code = part[keep], label[keep], [c[keep] for c in code]
+        for step in range(1, min(dense, max(1, len(part)))):
             same = part[step:] == part[:-step]
             if not same.any():
                 break
-            x, y = node[:-step][same], node[step:][same]
+            x, y = label[:-step][same], label[step:][same]
             near = (hamming([c[:-step][same] for c in code], [c[step:][same] for c in code]) <= distance) & (x != y)
             a.append(x[near])
             b.append(y[near])
@@ -203,10 +226,10 @@ def _verify(distance: int, dense: int = 48):
 
     def flush(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         part, node, *code = (np.concatenate(x) for x in zip(*held, strict=True))
-        a, b = run(part, node, code or [node])
+        label = code.pop() if labelled else node
+        a, b = run(part, node, code or [node], label)
         if len(a):
-            pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            yield pa.record_batch([pa.array(pair[i].view(np.int64)) for i in (0, 1)], names=["x", "y"])
+            yield pa.record_batch([pa.array(x.view(np.int64)) for x in stars(a, b)], names=["x", "y"])
 
     def op(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -228,12 +251,14 @@ def _verify(distance: int, dense: int = 48):
     return op
 
 
-def grid_links(codes: DataFrame, nodes: list[str], distance: int, bits: int, big: DataFrame | None) -> DataFrame:
-    """(x, y): forests of the links among codes (fp, grid, and the columns `nodes`) that share a cell.
+def grid_links(codes: DataFrame, nodes: list[str], distance: int, bits: int, big: DataFrame | None, labelled: bool = False) -> DataFrame:
+    """(x, y): stars that connect what the links among codes (fp, grid, and the columns `nodes`) that share a cell connect.
 
     Fingerprints fp are joined on the grid within `distance`; a link is at most
     `bits` differing bits of the codes, which are the columns of `nodes` after
     the first, or the first itself.  big has the crowded cells, if there are any.
+    labelled: the last of `nodes` names what is already connected; links are
+    then between labels, and only between different ones.
     """
     visits = codes.select("fp", "grid", *nodes).mapInArrow(_visit(distance), "cell long, " + ", ".join(f"{n} long" for n in nodes))
     if big is None:
@@ -242,7 +267,7 @@ def grid_links(codes: DataFrame, nodes: list[str], distance: int, bits: int, big
         own, other = F.pmod(F.xxhash64(nodes[0]), F.col("blocks")), F.col("other")
         placed = visits.join(big, "cell", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         parted = placed.select(F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least(own, other), F.greatest(own, other))).alias("part"), *nodes)
-    return parted.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(bits), "x long, y long")
+    return parted.repartition("part").sortWithinPartitions("part").mapInArrow(_verify(bits, labelled=labelled), "x long, y long")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

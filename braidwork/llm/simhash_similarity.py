@@ -17,12 +17,16 @@ similarity of SIMILARITY or more.
 3. Verification.  Candidates are settled by the exact similarity of their sets.
 
 How it scales.  Equal sets become one row by a pre-aggregated minimum.  A round
-is one shuffle of 50 visits of 32 bytes for each distinct set, whose files go
-before the next; of small tables several rounds are one shuffle.  Candidates come as spanning forests, never all pairs; their
-components are clusters, so that every candidate pair is inside a cluster, and
-only the shingles of clusters are shuffled, once.  A cluster yields a spanning
-forest of its verified links.  A cluster with many shingles is compared by
-pairs of blocks, in tasks of their own.
+is one shuffle of 50 visits of 32 bytes (40 after the first round) for each
+distinct set, whose files go before the next; of small tables several rounds
+are one shuffle.  Candidates come as stars that connect what a batch of visits
+links, never all pairs.  What the first round connects has one label from then
+on, and the other rounds give links between labels only, so a large group is
+not spanned anew in every cell and round.  The components of the candidates
+are clusters, so that every candidate pair is inside a cluster, and only the
+shingles of clusters are shuffled, once.  A cluster yields a spanning forest of
+its verified links.  A cluster with many shingles is compared by pairs of
+blocks, in tasks of their own.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ from braidwork.llm.simhash import CELL_LIMIT, crowded, grid_links, hamming
 from braidwork.llm.words import LOWER, U, Words, grams, mix, slices, trim
 
 SHINGLE, SIMILARITY, ROUNDS, RADIUS, BITS = 5, 0.8, 10, 4, 32
-#: Visits of 32 bytes that one job shuffles at most; a single round may be more.
+#: Visits that one job shuffles at most; a single round may be more.
 VISITS = 1 << 25
 #: Words of 64 bits of the code that candidates are compared by.
 CODE = 2
@@ -171,9 +175,10 @@ def _verify(least: float, bits: int):
     return op
 
 
-def every_of(distinct: DataFrame, *columns) -> DataFrame:
-    """A row (grid, fp, columns) for each round's fingerprint of each set."""
-    return distinct.select(F.posexplode(F.slice("fps", 1, ROUNDS)).alias("grid", "fp"), *columns)
+def every_of(distinct: DataFrame, *columns, first: int = 0, many: int = ROUNDS) -> DataFrame:
+    """A row (grid, fp, columns) for the fingerprint of each set in each of `many` rounds from `first` on."""
+    some = distinct.select(F.posexplode(F.slice("fps", first + 1, min(many, ROUNDS - first))).alias("grid", "fp"), *columns)
+    return some.withColumn("grid", F.col("grid") + first)
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, limit: int = CLUSTER_LIMIT, cell_limit: int = CELL_LIMIT, bits: int = BITS) -> DataFrame:
@@ -188,12 +193,14 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, l
     big = cut(crowded(every_of(distinct), RADIUS, cell_limit))
     big = None if big.isEmpty() else big
     nodes = ["set", *(f"code{i}" for i in range(CODE))]
-    coded = every_of(distinct, "set", *(F.col("fps")[ROUNDS + i].alias(f"code{i}") for i in range(CODE)))
+    words = [F.col("fps")[ROUNDS + i].alias(f"code{i}") for i in range(CODE)]
     each = max(1, VISITS // (50 * max(1, distinct.count())))  # how many rounds are one job changes no result
-    met = None
-    for k in range(0, ROUNDS, each):
-        found = cut(grid_links(coded.where(F.col("grid").between(k, k + each - 1)), nodes, RADIUS, bits, big))
-        met = found if met is None else met.unionByName(found)
+    first = cut(grid_links(every_of(distinct, "set", *words, many=1), nodes, RADIUS, bits, big))
+    met = cut(components(first.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("x"), F.col("component").alias("y")))
+    labelled = cut(distinct.join(met.select(F.col("x").alias("set"), F.col("y").alias("label")), "set", "left").select("set", "fps", F.coalesce("label", "set").alias("label")))
+    for k in range(1, ROUNDS, each):
+        coded = every_of(labelled, "set", *words, "label", first=k, many=each)
+        met = met.unionByName(cut(grid_links(coded, [*nodes, "label"], RADIUS, bits, big, labelled=True)))
     clusters = cut(components(met.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("set"), F.col("component").alias("cluster")))
     members = clusters.join(distinct.select("set", "rep", "n"), "set")
     sized = members.groupBy("cluster").agg(F.ceil(F.sum("n") / limit).cast("int").alias("blocks"))

@@ -100,6 +100,35 @@ def test_rounds_one_by_one(spark, near, monkeypatch):
     assert {r.doc_id: r.component_id for r in m.groups(df).collect()} == want
 
 
+def test_a_large_group_is_not_spanned_in_every_round(spark, monkeypatch):
+    """What is exploded and linked does not grow with the number of jobs or rounds."""
+    rng, texts = random.Random(5), {}
+    base = [f"w{i}" for i in range(150)]
+    for k in range(300):
+        words = list(base)
+        words[rng.randrange(150)] = f"new{k}"
+        texts[k] = " ".join(words)
+    exploded, linked = [], []
+    every_of, components = m.every_of, m.components
+
+    def explode(*args, **kwargs):
+        rows = every_of(*args, **kwargs)
+        exploded.append(rows.count())
+        return rows
+
+    def connect(edges):
+        linked.append(edges.where("a <> b").distinct().count())
+        return components(edges)
+
+    monkeypatch.setattr(m, "every_of", explode)
+    monkeypatch.setattr(m, "components", connect)
+    monkeypatch.setattr(m, "VISITS", 50 * len(texts))  # every round is a job of its own
+    got = {r.doc_id: r.component_id for r in m.groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0}
+    assert sum(exploded) == 2 * m.ROUNDS * len(texts)  # once to count cells, once to search
+    assert sum(linked) <= 20 * len(texts)
+
+
 def test_odd_rows(odd, empty):
     assert sorted(r.doc_id for r in m.representatives(odd).where("doc_id is not null").collect()) == [1, 4, 5, 6, 7, 9, 10]
     assert m.representatives(odd).where("doc_id is null").count() == 2
